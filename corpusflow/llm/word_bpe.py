@@ -14,18 +14,20 @@ both ends makes the whole exact.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterable
 from itertools import chain
+from struct import pack
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Characters from which a pre-token counts as long, and of one leaf.
 LONG, LEAF = 512, 128
-#: Pre-tokens kept by one worker.
-CACHE = 600_000
+#: Words, and pre-tokens, kept by one worker.
+CACHE = 500_000
 
 _LATIN = [chr(c) for c in range(0x180)]
 
@@ -35,11 +37,11 @@ def _class(kind: str) -> str:
 
 
 _LETTER, _NUMBER = _class("L"), _class("N")
-_SPACE = r"\t-\r \x85\xa0"
+_SPACE = r"\t-\r \x85\xa0"  # what str.split() separates at below U+0180, but for U+001C-U+001F
 #: The tokenizer's own pattern, over the letters and numbers below U+0180.
 _PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 #: Characters whose class, composition or lower case is left to the library.
-_OTHER = re.compile("[^\x00-įı-ſ]")
+_OTHER = re.compile("[^\x00-\x1b\x20-įı-ſ]")
 
 
 class WordBpe:
@@ -56,11 +58,14 @@ class WordBpe:
         self.inner = Tokenizer.from_str(json.dumps(spec))
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(size)]
+        self._shown = dict(enumerate(_byte_chars()))
         self._bytes_of = {c: b for b, c in enumerate(_byte_chars())}
         self.long, self.leaf, self.limit = long, leaf, cache
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # ids of pre-tokens
+        self.words: dict[str, bytes] = {}  # and of words between white space
 
     def pretokens(self, text: str) -> list[str]:
+        """The strings that BPE sees, of a text in any script."""
         if not _OTHER.search(text):
             return _PATTERN.findall(text.lower())
         normal = self.tokenizer.normalizer.normalize_str(text)
@@ -91,23 +96,42 @@ class WordBpe:
         return self.decode(np.frombuffer(ids, "<u4").tolist())
 
     def _encode_segment(self, text: str) -> bytes:
-        words = self.pretokens(text)
+        if _OTHER.search(text):
+            return self._encode_pretokens(self.pretokens(text))
+        # No pre-token crosses white space, so that whole words can be kept too.
+        words = text.lower().split()
         try:
-            return b"".join(map(self.cache.__getitem__, words))
+            return b"".join(map(self.words.__getitem__, words))
         except KeyError:
             pass
+        if len(self.words) > self.limit:
+            self.words.clear()
+        missing = [w for w in dict.fromkeys(words) if w not in self.words]
+        cut = [_PATTERN.findall(w) for w in missing]
+        self._learn(chain.from_iterable(cut))
+        own = {}
+        for w, parts in zip(missing, cut, strict=True):
+            if len(w) < self.long:
+                self.words[w] = b"".join(map(self.cache.__getitem__, parts))
+            else:
+                own[w] = self._encode_pretokens(parts)
+        if not own:
+            return b"".join(map(self.words.__getitem__, words))
+        return b"".join(own[w] if w in own else self.words[w] for w in words)
+
+    def _learn(self, words: Iterable[str]) -> None:
+        """Cache the pre-tokens of ordinary length."""
         if len(self.cache) > self.limit:
             self.cache.clear()
-        missing = [w for w in dict.fromkeys(words) if w not in self.cache]
-        short = [w for w in missing if len(w) < self.long]
-        own: dict[str, bytes] = {}
-        for w, e in zip(short, self.tokenizer.encode_batch_fast(short, add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        for w in missing:
-            if len(w) >= self.long:  # not kept: a run this long hardly repeats
-                own[w] = np.array(self.encode_long(w), "<u4").tobytes()
-        if not own:
-            return b"".join(map(self.cache.__getitem__, words))
+        short = [w for w in dict.fromkeys(words) if w not in self.cache and len(w) < self.long]
+        tokenize, shown = self.tokenizer.model.tokenize, self._shown
+        for w in short:  # normalised and cut already: only the merges are left
+            i = [t.id for t in tokenize(w.encode().decode("latin-1").translate(shown))]
+            self.cache[w] = pack(f"<{len(i)}I", *i)
+
+    def _encode_pretokens(self, words: list[str]) -> bytes:
+        self._learn(words)
+        own = {w: np.array(self.encode_long(w), "<u4").tobytes() for w in set(words) if len(w) >= self.long}  # not kept: so long a run hardly repeats
         return b"".join(own[w] if w in own else self.cache[w] for w in words)
 
     def encode_long(self, word: str) -> list[int]:
@@ -154,6 +178,7 @@ _OPEN: dict[tuple, WordBpe] = {}
 
 def opened(path: str, **options) -> WordBpe:
     """The encoder of this worker, made once."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     key = (path, *sorted(options.items()))
     if key not in _OPEN:
         _OPEN[key] = WordBpe(path, **options)
