@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters that separate words; everything else belongs to one.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,3 +64,8 @@ def text_words(text: str | None) -> list[bytes]:
 def lower_words(text: str | None) -> list[bytes]:
     """As text_words, with A-Z lower-cased and other letters left alone."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def schema_with(df: DataFrame, name: str, kind: str) -> T.StructType:
+    """The schema of df and one more column."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"{name} {kind}").fields])

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, host_rules, packing, quality, toxicity
 
 QUERIES = {
-    "op10_bpe": bpe.op10_bpe,
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op9_host_rules": host_rules.op9_host_rules,
+    "op10_bpe": bpe.op10_bpe,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op9_host_rules": host_rules.OP9_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
