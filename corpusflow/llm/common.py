@@ -43,9 +43,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     spark = df.sparkSession
+    root = shared_dir(spark).rpartition("/")[2]
     jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if folder.startswith((shared_dir(spark), "file:" + shared_dir(spark).removeprefix("file:").lstrip("/"))) or "corpusflow" in folder or shared_dir(spark).removeprefix("file://") in folder:
+        if folder.split("/")[-2] == root:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, host_rules, packing, quality, toxicity
+from . import bpe, host_rules, jaccard, packing, quality, toxicity
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_bpe": bpe.op10_bpe,
 }
