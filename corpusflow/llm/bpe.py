@@ -7,7 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table, schema_with
+from .common import map_arrow, read_table, schema_with
 from .word_bpe import opened, vocabulary_path
 
 
@@ -28,7 +28,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
             rows = [bpe.encode(x).astype("<i4") for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.int32()))], names=[*names, ids])
 
-    return kept.mapInArrow(run, schema_with(kept, ids, "array<int>"))
+    return map_arrow(kept, run, schema_with(kept, ids, "array<int>"))
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -43,7 +43,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", text:
             rows = [None if x is None else bpe.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.string())], names=[*names, text])
 
-    return kept.mapInArrow(run, schema_with(kept, text, "string"))
+    return map_arrow(kept, run, schema_with(kept, text, "string"))
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -64,7 +64,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 text_hash.append(hashlib.sha256(bpe.decode_bytes(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,17 @@ def lower_words(text: str | None) -> list[bytes]:
 def schema_with(df: DataFrame, name: str, kind: str) -> T.StructType:
     """The schema of df and one more column."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"{name} {kind}").fields])
+
+
+#: Rows of one Arrow batch at most: texts and sets can be long, and a worker
+#: holds a few batches at a time.
+BATCH_ROWS = 1000
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of BATCH_ROWS or fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)

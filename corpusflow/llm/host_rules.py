@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, staged, text_words
+from .common import map_arrow, read_table, staged, text_words
 
 #: The fixed base rule: fewer words, or a larger share (%) of repeated ones, fails.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
@@ -72,7 +72,7 @@ def measure(docs: DataFrame, host: Column) -> DataFrame:
             failed = (n < LEAST_WORDS) | (100 * again > MOST_REPEATED * n)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, rows.T.copy()), pa.array(failed)], names=["doc_id", "host", *COUNTS, "base_failed"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), "text").mapInArrow(run, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), "text"), run, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean")
 
 
 def host_rates(measured: DataFrame) -> DataFrame:

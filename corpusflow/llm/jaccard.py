@@ -10,6 +10,12 @@ inverted lists of a query's shingles. The lists are divided as in DivideSkip:
   l - 1 are long; a match occurs on one of the others, the short lists. Lists
   of one set are dropped. What is left of the short lists is merged, sorted by
   shingle, by the shuffle.
+* Sets on short lists are the candidates. Over all shingles of candidates, in
+  the order of their counts, a set's first s - T + 1 make its prefix; a pair
+  with overlap I meets among the first s - I + 1 and t - I + 1 of its prefixes.
+* A pair's difference has at least as many shingles as the parity sketches of
+  its sets (a bit per hash class, flipped by each shingle) differ in bits; a
+  pair beyond (s + t) / 9 can't be similar and isn't emitted.
 * Candidates probe the whole sets, long lists included, by binary search until
   they reach T occurrences or can't any more.
 
@@ -27,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_staged, lower_words, read_table, staged
+from .common import drop_staged, lower_words, map_arrow, read_table, staged
 from .components import components
 
 WORDS = 5
 #: Candidate ids sent to all tasks at most; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 SALTS = 8
+#: Longs of a parity sketch: 2048 bits.
+SKETCH = 32
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "uint64")
 _HASHES: dict[bytes, int] = {}
 
@@ -59,6 +67,18 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
+def parity(x: np.ndarray) -> np.ndarray:
+    """SKETCH longs whose bits tell whether the shingles of a class are odd in number."""
+    bits = np.bincount((x >> np.uint64(64 - 11)).astype("int64"), minlength=64 * SKETCH).astype("uint8") & 1
+    return np.packbits(bits).view("int64")
+
+
+def may_be_similar(n, m, p, q):
+    """Whether |difference| <= (n + m) / 9 is still possible by the sketches p, q."""
+    differ = sum((F.bit_count(p[i].bitwiseXOR(q[i])) for i in range(SKETCH)), F.lit(0))
+    return 9 * differ <= n + m
+
+
 def least_overlap(s: int) -> int:
     """T: the occurrences that any match of a set of s has at least."""
     return -(-4 * s // 5)
@@ -92,7 +112,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def _prepared(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            n, sig, kept, skip = [], [], [], []
+            n, sig, kept, skip, sketch = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 x = shingles(text)
                 s = len(x)
@@ -100,9 +120,10 @@ def _prepared(docs: DataFrame) -> DataFrame:
                 sig.append(xxhash.xxh3_128_digest(x.tobytes()) if s else None)
                 kept.append(x[: s - least_overlap(s) + kept_short(s)].view("int64"))
                 skip.append(kept_short(max(1, least_overlap(s))) - 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(kept, pa.list_(pa.int64())), pa.array(skip, pa.int32())], names=["doc_id", "n", "sig", "kept", "skip"])
+                sketch.append(parity(x))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(kept, pa.list_(pa.int64())), pa.array(skip, pa.int32()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n", "sig", "kept", "skip", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig binary, kept array<long>, skip int")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, sig binary, kept array<long>, skip int, sketch array<long>")
 
 
 def _short_lists(classes: DataFrame) -> DataFrame:
@@ -114,34 +135,44 @@ def _short_lists(classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, x (the whole set as binary) of the given nodes, from their texts."""
+    """node, n, x (the whole set as longs) of the given nodes, from their texts."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "x"])
+            x = [shingles(t).view("int64") for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, x)), pa.int64()), pa.array(x, pa.list_(pa.int64()))], names=["node", "n", "x"])
 
     few = nodes.count() <= BROADCAST_IDS
     found = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(F.broadcast(nodes) if few else nodes, "node")
-    return found.mapInArrow(run, "node long, x binary")
+    return map_arrow(found, run, "node long, n long, x array<long>")
+
 
+def _prefix_lists(sets: DataFrame) -> DataFrame:
+    """list, node, n, at: the lists of prefix shingles, with their place in the
+    node's order. Shingles of one candidate come first and have no list."""
+    length = F.count("*").over(Window.partitionBy("list"))
+    counted = sets.select("node", "n", F.explode("x").alias("list")).withColumn("length", length).where("length > 1")
+    here = Window.partitionBy("node")
+    at = F.col("n") - F.count("*").over(here) + F.row_number().over(here.orderBy("length", "list"))
+    return counted.select("list", "node", "n", at.alias("at")).where("at <= n div 5 + 1")
 
-def _tested(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+
+def _numpy(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[i:j].view("uint64") for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _tested(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar."""
-    nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-nodes")
-    sets = staged(_sets(docs, nodes), "jaccard-sets")
 
     def run(batches):
         for b in batches:
-            x = ((np.frombuffer(p, "uint64"), np.frombuffer(q, "uint64")) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
-            keep = pa.array([similar(p, q) for p, q in x], pa.bool_())
+            keep = pa.array([similar(p, q) for p, q in zip(_numpy(b.column(2)), _numpy(b.column(3)), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("x").alias("p")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("x").alias("q")), "b").select("a", "b", "p", "q")
-    links = staged(both.mapInArrow(run, "a long, b long"), "jaccard-links")
-    drop_staged(nodes)
-    drop_staged(sets)
-    return links
+    return staged(map_arrow(both, run, "a long, b long"), "jaccard-links")
 
 
 def jaccard_components(docs: DataFrame, first: int = 1, more: int = 16) -> DataFrame:
@@ -161,32 +192,43 @@ def jaccard_components(docs: DataFrame, first: int = 1, more: int = 16) -> DataF
     member = base.select("doc_id", "n", "sig").join(several, (F.col("sig") == F.col("g")) & (salt == F.col("salt")), "left").select("doc_id", "n", "sig", F.coalesce("node", "doc_id").alias("node"))
     member = staged(member, "jaccard-members")
     nodes = member.where("doc_id = node AND sig IS NOT NULL").select("node", F.col("sig").alias("g")).distinct()
-    classes = base.dropDuplicates(["doc_id", "sig"]).join(nodes, (F.col("doc_id") == F.col("node")) & (F.col("sig") == F.col("g"))).select("node", "n", "skip", "kept")
-    lists = staged(_short_lists(classes), "jaccard-lists")
+    classes = base.join(nodes, (F.col("doc_id") == F.col("node")) & (F.col("sig") == F.col("g")))
+    candidates = staged(_short_lists(classes.select("node", "n", "skip", "kept")).select("node").distinct(), "jaccard-candidates")
+    sketches = staged(classes.select("node", "sketch").join(candidates, "node", "left_semi"), "jaccard-sketches")
     drop_staged(base)
+    sets = staged(_sets(docs, candidates), "jaccard-sets")
+    drop_staged(candidates)
+    lists = _prefix_lists(sets)
     order = Window.partitionBy("list").orderBy("node")
     size = Window.partitionBy("list")
     # A short list's members by number; a list of one node (by a repeated id) is no list.
     lists = staged(lists.withColumns({"rank": F.row_number().over(order), "size": F.count("*").over(size), "c": F.col("node")}).where("size > 1"), "jaccard-ranked")
 
+    overlap = F.expr("(4 * (n + m) + 8) div 9")
+    meets = (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & (F.col("at") <= F.col("n") - overlap + 1) & (F.col("z") <= F.col("m") - overlap + 1)
+    seen = F.lit(True)
     links, found, done, step = None, None, 0, first
     while True:
-        leaders = lists.where((F.col("rank") > done) & (F.col("rank") <= done + step)).select("list", F.col("node").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("rank").alias("r"))
-        met = lists.join(leaders, "list").where((F.col("rank") > F.col("r")) & (F.col("c") != F.col("d")) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")))
+        leaders = lists.where((F.col("rank") > done) & (F.col("rank") <= done + step)).withColumnsRenamed({"list": "own", "node": "a", "n": "m", "c": "d", "rank": "r", "at": "z", "sketch": "q"}).drop("size")
+        met = lists.join(leaders, (F.col("list") == F.col("own")) & (F.col("rank") > F.col("r")) & (F.col("c") != F.col("d")) & meets & seen)
         pairs = staged(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "jaccard-pairs")
-        fresh = _tested(docs, pairs)
+        fresh = _tested(sets, pairs)
         links = fresh if links is None else links.union(fresh)
         drop_staged(pairs)
         found = staged(components(links), "jaccard-components")
         done, step = done + step, step * more
-        now = lists.drop("c").join(found.select("node", "component"), "node", "left").select("list", "node", "n", "rank", "size", F.coalesce("component", "node").alias("c"))
+        now = lists.drop("c").join(found.select("node", "component"), "node", "left").select("list", "node", "n", "at", "rank", "size", F.coalesce("component", "node").alias("c"))
         spread = now.where(F.col("size") > done).groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("list")
-        following = staged(now.join(spread, "list", "left_semi"), "jaccard-ranked")
+        # From the second round on a list has many leaders: the sketches go with its members.
+        following = staged(now.join(spread, "list", "left_semi").join(sketches, "node"), "jaccard-ranked")
+        seen = may_be_similar(F.col("n"), F.col("m"), F.col("sketch"), F.col("q"))
         drop_staged(lists)
         lists = following
         if not lists.head(1):
             break
     drop_staged(lists)
+    drop_staged(sketches)
+    drop_staged(sets)
     return member.join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 

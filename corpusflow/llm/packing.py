@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_staged, read_table, staged
+from .common import drop_staged, map_arrow, read_table, staged
 from .word_bpe import opened, vocabulary_path
 
 #: Groups of large lengths, and the part of the capacity above which one is large.
@@ -194,7 +194,7 @@ def pieces(docs: DataFrame, capacity: int, path: str, end_id: int = 1) -> DataFr
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, PIECES)
 
 
 def pack(docs: DataFrame, capacity: int = 4096, path: str | None = None, groups: int = GROUPS, large: float = LARGE) -> DataFrame:
@@ -224,7 +224,7 @@ def pack(docs: DataFrame, capacity: int = 4096, path: str | None = None, groups:
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(base[at] + rank - first[at]), pa.array(offset[at])], names=names)
 
     ranked = found.join(before, ["part", "length"]).select(*names[:5], (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_arrow(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read_table, schema_with
+from .common import crc_mod, map_arrow, read_table, schema_with
 from .labelled import FIT_ROWS, read_labels, sample
 
 TREES, DEPTH, RATE, BINS, RIDGE, LEAST = 80, 4, 0.15, 64, 1.0, 8
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Trees:
             x = [statistics(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float32())), b.column(2)], names=["doc_id", "x", "y"])
 
-    found = sample(docs, labels, "quality", 4, 2, rows).mapInArrow(features, "doc_id long, x array<float>, y int").toArrow().sort_by("doc_id")
+    found = map_arrow(sample(docs, labels, "quality", 4, 2, rows), features, "doc_id long, x array<float>, y int").toArrow().sort_by("doc_id")
     if not found.num_rows:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Trees, name: str = "score") -> DataFrame:
             x = np.array([statistics(t) for t in b.column(at).to_pylist()], "float64").reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(x))], names=[*names, name])
 
-    return kept.mapInArrow(run, schema_with(kept, name, "double"))
+    return map_arrow(kept, run, schema_with(kept, name, "double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, drop_staged, read_table, schema_with, staged
+from .common import crc_mod, drop_staged, map_arrow, read_table, schema_with, staged
 from .labelled import FIT_ROWS, read_labels, sample
 
 #: Features kept, the least z value and documents of one, and how its parts are weighed.
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, groups=IDENT
     if not total.bad or total.bad == total.n:
         drop_staged(fitted)
         return Linear(7.0 if total.bad else -7.0, {})
-    counts = fitted.mapInArrow(found, "f string, y int").groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") >= LEAST_ROWS)
+    counts = map_arrow(fitted, found, "f string, y int").groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") >= LEAST_ROWS)
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     z = (F.log(a / (total.bad + 1.0)) - F.log(b / (total.n - total.bad + 1.0))) / F.sqrt(1 / a + 1 / b)
     chosen = [r.f for r in counts.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(VOCABULARY).collect()]
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, groups=IDENT
                 out[2].append(label)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.int32())], names=["x", "swapped", "y"])
 
-    data = fitted.mapInArrow(known, "x array<int>, swapped array<int>, y int").toArrow()
+    data = map_arrow(fitted, known, "x array<int>, swapped array<int>, y int").toArrow()
     drop_staged(fitted)
     rows_ = sorted(zip(data["x"].to_pylist(), data["swapped"].to_pylist(), data["y"].to_pylist(), strict=True))
     bias, weight = fit(rows_, len(chosen), penalty=penalty)
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: Linear, name: str = "score") -> DataFrame:
                 out[i] = model.bias + sum(own[f] for f in sorted(own))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))], names=[*names, name])
 
-    return kept.mapInArrow(run, schema_with(kept, name, "double"))
+    return map_arrow(kept, run, schema_with(kept, name, "double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
