@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, host_rules, jaccard, packing, quality, toxicity
+from . import bpe, ctw, host_rules, jaccard, lines, packing, quality, token_counts, toxicity, winnowing
 
 QUERIES = {
+    "op1_document_fingerprints": winnowing.op1_document_fingerprints,
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op4_line_dedup": lines.op4_line_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_lm_scoring": ctw.op6_lm_scoring,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_host_rules": host_rules.op9_host_rules,
