@@ -1,7 +1,459 @@
-"""Registered queries over the driver's tables, with their DuckDB twins."""
+"""Registered queries over the driver's tables, with their DuckDB twins.
+
+Turns stand in for answers and event values for losses: those queries exercise
+the operators, their numbers mean nothing elsewhere.
+"""
 
 from __future__ import annotations
 
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import corpus, dialogue, evaluation, quality, retrieval, schedules, web
+from .streaming import corpus_stream
+
 FLAGSHIP = "quality_rejection_histogram"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+SPACE, ENDS, DARK = X.SPACE, X.LINE_END, X.UNPRINTABLE
+STRIP = rf"regexp_replace(%s, '^{SPACE}+|{SPACE}+$', '', 'g')"
+COLLAPSE = rf"trim(regexp_replace(%s, '{SPACE}+', ' ', 'g'))"
+REASON = rf"""
+CASE WHEN length(t) < 200 THEN 'too_short' WHEN length(t) > 200000 THEN 'too_long'
+ WHEN (length(t) - length(regexp_replace(t, '{DARK}', '', 'g'))) / length(t) > 0.02 THEN 'non_printable'
+ WHEN length(regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')) / length(t) < 0.25 THEN 'low_alphanumeric_ratio'
+ WHEN len(ls) >= 10 AND len(list_distinct(ls)) / len(ls) < 0.5 THEN 'repetitive_lines'"""
+GATED = rf"g AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '{ENDS}'), lambda x: {COLLAPSE % 'x'}), lambda x: x <> '') AS ls FROM (SELECT *, {STRIP % 'text'} AS t FROM documents))"
+
+
+@query(f"WITH {GATED} SELECT coalesce({REASON} END, 'accepted') AS reason, count(*) AS n FROM g GROUP BY 1")
+def quality_rejection_histogram(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.histogram(docs.select(quality.general_rejection(X.stripped(F.col("text"))).alias("reason")))
+
+
+@query(f"WITH {GATED} SELECT g.doc_id, {REASON} WHEN lower(coalesce(lang, 'en')) NOT IN ('en', 'eng', 'english') THEN 'non_english' WHEN quality * 4.0 < 3.0 THEN 'low_education_score' END AS reason FROM g LEFT JOIN labels USING (doc_id)")
+def quality_gate_with_metadata(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return docs.select("doc_id", quality.general_rejection(X.stripped(F.col("text")), F.col("lang"), education=F.col("quality") * 4.0).alias("reason"))
+
+
+@query(f"WITH {GATED} SELECT source, count(*) AS seen, count(*) FILTER (WHERE ({REASON} END) IS NULL) AS accepted, count(*) FILTER (WHERE ({REASON} END) IS NOT NULL) AS rejected FROM g GROUP BY source")
+def accepted_by_source(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", quality.general_rejection(X.stripped(F.col("text"))).isNull().alias("ok"))
+    return docs.groupBy("source").agg(F.count("*").alias("seen"), F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("rejected"))
+
+
+HASH = f"sha256({COLLAPSE % 'lower(text)'})"
+
+
+@query(f"SELECT doc_id, {HASH} AS hash FROM documents")
+def normalized_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.normalized_hash(F.col("text")).alias("hash"))
+
+
+@query(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {HASH}")
+def exact_dedup_keep_first(spark, sf_dir):
+    return corpus.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+SHINGLES = r"w AS (SELECT {id}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS ws FROM {t}), s AS (SELECT DISTINCT {id}, array_to_string(list_slice(ws, i, i + 7), ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(ws) - 7)) AS i FROM w))"
+D = SHINGLES.format(id="doc_id", t="documents")
+P = SHINGLES.format(id="item_id", t="benchmark").replace("w AS", "pw AS").replace("FROM w)", "FROM pw)").replace(", s AS", ", ps AS")
+PAIRS = f"{D}, {P}, nd AS (SELECT doc_id, count(*) AS nd FROM s GROUP BY 1), np AS (SELECT item_id, count(*) AS np FROM ps GROUP BY 1), hit AS (SELECT doc_id, item_id, count(*) / min(least(nd, np)) AS o FROM s JOIN ps USING (g) JOIN nd USING (doc_id) JOIN np USING (item_id) GROUP BY 1, 2), pairs AS (SELECT doc_id, item_id, round(o, 6) AS overlap FROM hit WHERE o >= 0.5)"
+
+
+@query(f"WITH {D} SELECT doc_id, (SELECT count(*) FROM s WHERE s.doc_id = d.doc_id) AS n FROM documents d")
+def shingle_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.shingles(F.col("text"), 8)).cast("long").alias("n"))
+
+
+@query(f"WITH {PAIRS} SELECT * FROM pairs")
+def contaminated_pairs(spark, sf_dir):
+    return corpus.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(f"WITH {PAIRS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM pairs)")
+def decontaminated_documents(spark, sf_dir):
+    return corpus.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id")
+
+
+@query(f"WITH {PAIRS}, c AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM pairs)) SELECT (SELECT count(*) FROM documents) AS seen, (SELECT count(*) FROM c) AS clean, (SELECT count(DISTINCT {HASH}) FROM c) AS kept")
+def corpus_funnel(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    clean = corpus.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    kept = clean.agg(F.count("*").alias("clean"), F.count_distinct(X.normalized_hash(F.col("text"))).alias("kept"))
+    return docs.agg(F.count("*").alias("seen")).join(F.broadcast(kept))  # one row each
+
+
+@query(r"WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents), r AS (SELECT *, sum(n_tokens) OVER (ORDER BY doc_id) AS upto FROM t) SELECT doc_id, n_tokens, least(n_tokens, 50000 - (upto - n_tokens))::BIGINT AS kept FROM r WHERE upto - n_tokens < 50000")
+def token_cap_truncation(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"))
+    return corpus.token_cap(docs, 50_000)
+
+
+MIX = "c AS (SELECT i, i * 97 AS start, 97 AS size FROM range(0, 103) t(i)), m AS (SELECT i, start, size, (round_even((start + size) * 7000.0 / 10000, 0) - round_even(start * 7000.0 / 10000, 0))::BIGINT AS reasoning FROM c)"
+
+
+@query(f"WITH {MIX} SELECT i::BIGINT AS i, start::BIGINT AS start, size::BIGINT AS size, reasoning, size - reasoning AS general FROM m")
+def mixture_schedule(spark, sf_dir):
+    chunks = spark.range(103).select(F.col("id").alias("i"), (F.col("id") * 97).alias("start"), F.lit(97).cast("long").alias("size"))
+    return corpus.mixture_schedule(chunks, 10_000, 0.7)
+
+
+@query("SELECT position // 8 AS sequence, string_agg(token::VARCHAR, ',' ORDER BY position) AS tokens FROM (SELECT event_id AS position, user_id AS token FROM events) GROUP BY 1 HAVING count(*) = 8")
+def packed_sequences(spark, sf_dir):
+    tokens = table(spark, sf_dir, "events").select(F.col("event_id").alias("position"), F.col("user_id").alias("token"))
+    return corpus.packed(tokens, 8).select("sequence", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
+
+
+@query("SELECT v, CASE WHEN v <= 65535 THEN 'uint16' ELSE 'uint32' END AS dtype FROM (VALUES (1::BIGINT), (65535), (65536), (50304)) t(v)")
+def token_dtype(spark, sf_dir):
+    return spark.createDataFrame([(1,), (65_535,), (65_536,), (50_304,)], "v long").select("v", corpus.token_dtype(F.col("v")).alias("dtype"))
+
+
+ARTICLE = r"regexp_replace(%s, '(^|[^\p{L}\p{N}_])(a|an|the)([^\p{L}\p{N}_]|$)', '\1 \3', 'g')"
+NORM = "trim(regexp_replace(" + ARTICLE % (ARTICLE % "lower(%s)") + ", '[^a-z0-9]+', ' ', 'g'))"
+WORDS = "list_filter(string_split(" + NORM + ", ' '), lambda w: w <> '')"
+
+
+def _answers(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf_dir, "conversations").select("role", F.col("text").alias("prediction"), F.lead("text").over(w).alias("answer"), F.col("role").alias("task")).where("answer IS NOT NULL")
+
+
+@query(f"""WITH a AS (SELECT role, text AS p, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations),
+w AS (SELECT role, {NORM % 'p'} = {NORM % 'a'} AS em, {WORDS % 'p'} AS p, {WORDS % 'a'} AS a FROM a WHERE a IS NOT NULL),
+f AS (SELECT role, em::INT AS em, CASE WHEN len(p) = 0 OR len(a) = 0 THEN (len(p) = 0 AND len(a) = 0)::INT ELSE
+ 2.0 * coalesce(list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(a, lambda y: y = x))))), 0) / (len(p) + len(a)) END AS f1 FROM w)
+SELECT role AS task, count(*) AS n, round(avg(em), 6) AS exact_match, round(avg(f1), 6) AS token_f1 FROM f GROUP BY ROLLUP (role)""")
+def answer_em_f1_by_group(spark, sf_dir):
+    out = evaluation.answers(_answers(spark, sf_dir))
+    return out.select("task", "n", F.round("exact_match", 6).alias("exact_match"), F.round("token_f1", 6).alias("token_f1"))
+
+
+@query("WITH l AS (SELECT abs(value) / 100 AS loss, 1 + user_id % 7 AS tokens FROM events), m AS (SELECT sum(loss * tokens) / sum(tokens) AS v, sum(tokens)::BIGINT AS tokens FROM l) SELECT round(v, 6) AS mean_loss, round(exp(least(v, 20)), 6) AS perplexity, tokens FROM m")
+def lm_loss_perplexity(spark, sf_dir):
+    losses = table(spark, sf_dir, "events").select((F.abs("value") / 100).alias("loss"), (1 + F.col("user_id") % 7).alias("tokens"))
+    return evaluation.language_model(losses).select(F.round("mean_loss", 6).alias("mean_loss"), F.round("perplexity", 6).alias("perplexity"), "tokens")
+
+
+@query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+def latency_percentiles_by_mode(spark, sf_dir):
+    out = evaluation.percentiles(table(spark, sf_dir, "events"), "value", "event_type", p50=0.5, p95=0.95)
+    return out.select("event_type", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
+
+@query("""WITH r AS (SELECT user_id, max_by(struct_pack(s := event_id, r := event_id % 100, t := event_id % 1000, l := value), event_id) AS x FROM events GROUP BY user_id)
+SELECT user_id, x.r AS reasoning_tokens, x.t AS tokens_seen, round(x.l, 6) AS loss, round(x.r / greatest(1, x.t), 6) AS ratio FROM r""")
+def final_metric_per_run(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 100).alias("reasoning_tokens"), (F.col("event_id") % 1000).alias("tokens_seen"), F.col("value").alias("loss"))
+    return evaluation.final_metric(log, "user_id", "event_id").withColumns({"loss": F.round("loss", 6), "ratio": F.round("ratio", 6)})
+
+
+def _neighbours(spark, sf_dir, n=10):
+    """A stated set of queries (ids divisible by 20) against all vectors."""
+    v = table(spark, sf_dir, "embeddings")
+    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return v, _in_blocks(v, queries, n)
+
+
+def _in_blocks(v, queries, n, block=2000):
+    """A block of at most `block` queries is sent to all tasks at a time."""
+    count = queries.count()
+    parts = max(1, -(-count // block))
+    out = None
+    for i in range(parts):
+        some = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+        found = retrieval.dense_top(v, some, n)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+COSINE = "e AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), n AS (SELECT *, sqrt(list_inner_product(e, e)) AS l FROM e), c AS (SELECT q.vec_id AS query_id, x.vec_id, x.label, q.label AS own, list_inner_product(x.e, q.e) / (x.l * q.l) AS score FROM n q JOIN n x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c)"
+
+
+@query(f"WITH {COSINE} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM k WHERE rank <= 10")
+def dense_topk_cosine(spark, sf_dir):
+    return _neighbours(spark, sf_dir)[1].select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {COSINE}, t AS (SELECT * FROM k WHERE rank <= 10), o AS (SELECT label, count(*) AS size FROM embeddings GROUP BY label),
+m AS (SELECT query_id, sum((label = own)::INT) AS hits, min(CASE WHEN label = own THEN rank END) AS first, sum(CASE WHEN label = own THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, any_value(own) AS own FROM t GROUP BY query_id),
+i AS (SELECT query_id, sum(1 / log2(p + 1)) AS ideal FROM (SELECT query_id, unnest(generate_series(1, least(size - 1, 10))) AS p FROM m JOIN o ON own = label) GROUP BY query_id)
+SELECT m.query_id, round(hits / (size - 1), 6) AS recall, round(coalesce(1 / first, 0), 6) AS mrr, round(dcg / ideal, 6) AS ndcg FROM m JOIN o ON own = label JOIN i USING (query_id)""")
+def ranked_retrieval_metrics(spark, sf_dir):
+    v, near = _neighbours(spark, sf_dir)
+    lists = near.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))).alias("x")).select("query_id", F.col("x.vec_id").alias("retrieved"))
+    own = v.select(F.col("vec_id").alias("query_id"), "label").join(lists.select("query_id"), "query_id", "left_semi")
+    support = own.join(v.select("vec_id", "label"), "label").where("vec_id <> query_id").groupBy("query_id").agg(F.collect_list("vec_id").alias("supporting"))
+    out = lists.join(support, "query_id").select("query_id", evaluation.ranked(F.col("retrieved"), F.col("supporting"), 10).alias("m"))
+    return out.select("query_id", *[F.round(F.col("m")[c], 6).alias(c) for c in ("recall", "mrr", "ndcg")])
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    return retrieval.chunks(table(spark, sf_dir, "documents"))
+
+
+def _bm25(spark, sf_dir, boost=0.0):
+    docs = table(spark, sf_dir, "documents")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    lengths = docs.select("doc_id", F.size(retrieval.terms(F.col("text"))).alias("length"))
+    scores = retrieval.bm25(retrieval.postings(docs, "doc_id", F.col("text")), lengths, queries, "doc_id")
+    if boost:
+        titles = docs.select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
+        title = retrieval.bm25(retrieval.postings(titles, "doc_id", F.col("title")), titles.select(F.size(retrieval.terms(F.col("title"))).alias("length")), queries, "doc_id")
+        scores = scores.unionByName(title.withColumn("score", F.col("score") * boost)).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    return retrieval.top(scores.withColumn("score", F.round("score", 6)), 10, "doc_id")
+
+
+def _bm25_sql(field: str, name: str) -> str:
+    return rf"""{name}w AS (SELECT doc_id, list_filter(regexp_extract_all(lower({field}), '[\p{{L}}\p{{N}}]+'), lambda t: strlen(t) <= 40) AS ws FROM documents),
+{name}t AS (SELECT doc_id, term, count(*) AS tf, any_value(len(ws)) AS dl FROM (SELECT doc_id, ws, unnest(ws) AS term FROM {name}w) GROUP BY 1, 2),
+{name}q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda t: strlen(t) <= 40)) AS term FROM benchmark),
+{name}d AS (SELECT term, count(*) AS df FROM {name}t GROUP BY 1), {name}n AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM {name}w),
+{name} AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM {name}t JOIN {name}d USING (term) JOIN {name}q USING (term), {name}n GROUP BY 1, 2)"""
+
+
+TOP10 = "SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(score, 6) AS score FROM x)) WHERE rank <= 10"
+
+
+@query(f"WITH {_bm25_sql('text', 'x')} {TOP10}")
+def bm25_topk(spark, sf_dir):
+    return _bm25(spark, sf_dir).withColumn("rank", F.col("rank").cast("long"))
+
+
+TITLE = "string_split(text, chr(10))[1]"
+
+
+@query(f"WITH {_bm25_sql('text', 'b')}, {_bm25_sql(TITLE, 'h')}, x AS (SELECT query_id, doc_id, sum(score) AS score FROM (SELECT * FROM b UNION ALL SELECT query_id, doc_id, 2.0 * score FROM h) GROUP BY 1, 2) {TOP10}")
+def bm25_title_boost(spark, sf_dir):
+    return _bm25(spark, sf_dir, 2.0).withColumn("rank", F.col("rank").cast("long"))
+
+
+FUSION = f"{COSINE}, a AS (SELECT query_id, vec_id, rank FROM k WHERE rank <= 20), b AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id DESC) AS rank FROM a), f AS (SELECT query_id, vec_id, round(sum(1 / (60.0 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)"
+
+
+def _fused(spark, sf_dir):
+    v, a = _neighbours(spark, sf_dir, 20)
+    b = a.select("query_id", "vec_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("vec_id"))).alias("rank"))
+    return v, retrieval.fuse([a, b], "vec_id").withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {FUSION} SELECT * FROM f")
+def rrf_fusion(spark, sf_dir):
+    return _fused(spark, sf_dir)[1]
+
+
+@query(f"WITH {FUSION} SELECT r.query_id, r.vec_id, r.rank, e.label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM f) r JOIN embeddings e USING (vec_id) WHERE r.rank <= 5")
+def hybrid_topk(spark, sf_dir):
+    v, fused = _fused(spark, sf_dir)
+    best = retrieval.top(fused, 5, "vec_id").select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+    return best.join(v.select("vec_id", "label"), "vec_id")
+
+
+@query()
+def rerank_pluggable(spark, sf_dir):
+    found = _bm25(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+    named = found.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id").drop("rank")
+    overlap = lambda q, c: q.combine(c, lambda a, b: len(set(a.split()) & set(b.split())) / max(1, len(set(a.split()))))
+    return retrieval.rerank(named, overlap, 3, "doc_id").select("query_id", "doc_id", "score", "rank")
+
+
+@query()
+def canonical_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", web.canonical_url("url").alias("canonical"))
+
+
+@query("SELECT page_id, 'web:' || left(sha256(url), 20) AS id FROM pages")
+def stable_source_ids(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.source_id(F.lit("web"), F.col("url")).alias("id"))
+
+
+@query()
+def web_dedup_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 50).alias("query_id"), F.col("page_id").alias("position"), "url")
+    return web.dedup_top(rows, 5)
+
+
+@query()
+def page_main_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", web.main_text("html").alias("text"))
+
+
+@query("SELECT user_id, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def cache_upsert_latest(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    return corpus.latest(rows, ["user_id"], ["ts", "event_id"]).select("user_id", "value", "event_id")
+
+
+@query("WITH c AS (SELECT user_id, max(event_id) AS expires FROM events GROUP BY 1) SELECT u.user_id AS key, CASE WHEN expires > 1000 THEN expires END AS payload FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN c USING (user_id)")
+def cache_lookup_unexpired(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    cache = events.groupBy(F.col("user_id").alias("key")).agg(F.max("event_id").alias("expires")).withColumn("payload", F.col("expires"))
+    return web.unexpired(cache, events.select(F.col("user_id").alias("key")).distinct(), F.lit(1000))
+
+
+SANITIZED = "regexp_replace(html, '" + DARK + "', ' ', 'g')"
+for _t in X.CONTROL_TOKENS:
+    SANITIZED = f"replace({SANITIZED}, '{_t}', '< | {_t[2:-2]} | >')"
+
+
+@query(f"SELECT page_id, left({SANITIZED}, 12000) AS clean FROM pages")
+def sanitize_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.sanitized(F.col("html")).alias("clean"))
+
+
+MATH = [("$ \\boxed{12} $.",), ("The final answer: 7",), ("x \\boxed{1} then \\boxed{A}",), ("answer is B.",), ("none",)]
+MATH_VALUES = ", ".join("('" + m[0] + "')" for m in MATH)
+
+
+@query(rf"""SELECT t, lower(regexp_replace(regexp_replace(regexp_replace(trim(t), '\.+$', ''), '\$|\\,| ', '', 'g'), '^\\boxed\{{(.*)\}}$', '\1')) AS normal,
+coalesce(list_extract(regexp_extract_all(t, '\\boxed\{{([^{{}}]*)\}}', 1), -1), nullif(trim(regexp_extract(t, '(?i)(?:final answer|answer is)\s*:?\s*([^\n]*)', 1)), '')) AS boxed,
+nullif(regexp_extract(upper(t), '\b([A-E])\b', 1), '') AS choice FROM (VALUES {MATH_VALUES}) v(t)""")
+def math_answers(spark, sf_dir):
+    rows = spark.createDataFrame(MATH, "t string")
+    return rows.select("t", X.normalize_math(F.col("t")).alias("normal"), X.boxed_answer(F.col("t")).alias("boxed"), X.choice(F.col("t")).alias("choice"))
+
+
+GATE = [(i, s, "p" if i else "", f"<think>{t}</think><Answer>{a}</Answer>", f) for i, (s, t, a, f) in enumerate([("src1", "r", "x", "stop"), ("src1", "r", "x", "stop"), ("srcX", "r", "x", None), ("src2", "", "x", None), ("src2", "r", " ", None), ("src2", "r", "x", "length")])]
+GATE_VALUES = ", ".join(f"({i}::BIGINT, '{s}', '{p}', '{r}', {'NULL' if f is None else repr(f)})" for i, s, p, r, f in GATE)
+
+
+@query(f"""SELECT id, CASE WHEN s NOT IN ('src1', 'src2') THEN 'source_not_in_math_code_logic_mix' WHEN p = '' THEN 'missing_prompt' WHEN r = '' THEN 'missing_response'
+WHEN trim(regexp_extract(r, '(?is)<think>(.*?)</think>', 1)) = '' THEN 'missing_reasoning' WHEN trim(regexp_extract(r, '(?is)<answer>(.*?)</answer>', 1)) = '' THEN 'missing_answer'
+WHEN f NOT IN ('stop', 'eos_token') THEN 'incomplete_generation' END AS reason FROM (VALUES {GATE_VALUES}) v(id, s, p, r, f)""")
+def reasoning_gate(spark, sf_dir):
+    rows = spark.createDataFrame(GATE, "id long, s string, p string, r string, f string")
+    return rows.select("id", quality.reasoning_rejection(F.col("s"), F.col("p"), F.col("r"), F.col("f"), ["src1", "src2"]).alias("reason"))
+
+
+@query()
+def verification_route(spark, sf_dir):
+    rows = spark.createDataFrame([("logic puzzle", "s", "B", "(b)"), ("math", "s", "$2$", "2."), ("math", "s", "3", "2"), (None, "M", "x", None), ("code", "s", "x", None)], "domain string, source string, answer string, reference string")
+    return rows.select("*", quality.verification(F.col("domain"), F.col("source"), F.col("answer"), F.col("reference"), "M").alias("v")).select("domain", "source", "answer", "v.*")
+
+
+@query()
+def tool_call_parse(spark, sf_dir):
+    call = lambda b: f"x<|tool_call|>{b}<|end_tool_call|>"
+    good = call('{"name": "search", "arguments": {"query": " red  planet ", "top_k": 3}}')
+    bad = [call("{"), call('{"name": "run", "arguments": {"query": "q"}}'), call('{"name": "search", "arguments": {"query": "q", "top_k": 11}}'), good + good, "none"]
+    return spark.createDataFrame([(t,) for t in [good, *bad]], "t string").select(dialogue.tool_call(F.col("t")).alias("c")).select("c.*")
+
+
+@query()
+def final_response_parse(spark, sf_dir):
+    rows = spark.createDataFrame([("think<|answer|>Mars <|citation|>a:0 and <|citation|>b:1", ["a:0"]), ("only text", [])], "t string, known array<string>")
+    return rows.select(dialogue.final_answer(F.col("t"), F.col("known")).alias("a")).select("a.*")
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, lower(text) ORDER BY turn) > 1 AS duplicate FROM conversations WHERE role = 'user'")
+def duplicate_queries(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return corpus.duplicates_in_request(turns, "conv_id", "turn", "text").select("conv_id", "turn", "duplicate")
+
+
+@query("SELECT conv_id, turn, greatest(least(length(text), 1000 - (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - length(text))), 0)::BIGINT AS used FROM conversations")
+def evidence_budget(spark, sf_dir):
+    rows = dialogue.evidence_budget(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 1000)
+    return rows.select("conv_id", "turn", F.col("used").cast("long").alias("used"))
+
+
+@query()
+def sft_label_mask(spark, sf_dir):
+    rows = spark.createDataFrame([([1, 2, 3, 4], [0, 0, 3, 6], [0, 3, 6, 9], [(0, 4)])], "ids array<int>, a array<int>, b array<int>, spans array<struct<start: int, stop: int>>")
+    return rows.select(dialogue.label_mask(F.col("ids"), F.col("a"), F.col("b"), F.col("spans")).alias("labels"))
+
+
+@query("WITH r AS (SELECT conv_id, turn, length(text)::BIGINT AS n, max(length(text)) OVER (PARTITION BY conv_id) AS w FROM conversations) SELECT conv_id, turn, w::BIGINT AS width, w - n AS padded FROM r")
+def sft_collate(spark, sf_dir):
+    ids = F.transform(F.split("text", ""), lambda c: F.ascii(c))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", ids.alias("ids"), ids.alias("labels"))
+    out = dialogue.collated(rows, "conv_id", -1)
+    return out.select("conv_id", "turn", F.size("ids").cast("long").alias("width"), F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("padded"))
+
+
+@query("WITH g AS (SELECT user_id, event_id, value, count(*) OVER w AS k, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id)) SELECT event_id, round((value - m) / (s + 0.0001), 6) AS advantage FROM g WHERE k > 1")
+def group_advantages(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("value").alias("reward"))
+    large = events.groupBy("user_id").count().where("count > 1").select("user_id")
+    out = evaluation.advantages(events.join(large, "user_id", "left_semi"), "user_id")
+    return out.select("event_id", F.round("advantage", 6).alias("advantage"))
+
+
+@query("SELECT event_id, round((event_id % 2) * 1.0 + 0.25 * ((event_id % 5) / 4.0) - 0.02 * (event_id % 4) + 0.2 * (event_id % 3) / 2.0, 6) AS reward FROM events")
+def reward_components(spark, sf_dir):
+    i = F.col("event_id")
+    parts = table(spark, sf_dir, "events").select("event_id", (i % 2).cast("double").alias("answer_exact"), (i % 5 / 4.0).alias("answer_f1"), (i % 4).cast("double").alias("search_cost"), (i % 3 / 2.0).alias("citation_recall"))
+    return parts.select("event_id", F.round(evaluation.reward(parts), 6).alias("reward"))
+
+
+@query("SELECT t, round(CASE WHEN t < 1000 THEN 0.0006 * t / 1000.0 ELSE 0.00006 + 0.00054 * 0.5 * (1 + cos(pi() * least(greatest((t - 1000) / 9000.0, 0), 1))) END, 9) AS rate FROM (SELECT range * 250 AS t FROM range(0, 50))")
+def lr_schedule(spark, sf_dir):
+    return spark.range(50).select((F.col("id") * 250).alias("t")).select("t", F.round(schedules.cosine_rate(F.col("t"), 0.0006, 0.00006, 1000, 10_000), 9).alias("rate"))
+
+
+@query("SELECT i, greatest(least(2500000, i * 1000 + floor(123.5 * i))::BIGINT // 262144 * 262144, 262144)::BIGINT AS budget FROM (SELECT range AS i FROM range(0, 4000, 100))")
+def token_budget(spark, sf_dir):
+    i = F.col("id")
+    return spark.range(0, 4000, 100).select(i.alias("i"), schedules.projected_budget(i * 1000, F.lit(123.5), i, 2_500_000, 262_144).alias("budget"))
+
+
+@query("SELECT i, round(6 * 350000000.0 * i / 989e12, 9) AS mfu FROM (SELECT range AS i FROM range(0, 100000, 10000))")
+def mfu(spark, sf_dir):
+    return spark.range(0, 100_000, 10_000).select(F.col("id").alias("i"), F.round(schedules.utilisation(F.lit(350_000_000.0), F.col("id"), 989.0), 9).alias("mfu"))
+
+
+def _stream(spark, sf_dir, name):
+    """A table as a bounded stream; a single file is read through its name."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path + "*" if not spark.read.parquet(path).inputFiles()[0].rpartition("/")[0].endswith(".parquet") else path)
+
+
+@query(ORACLE_SQL[FLAGSHIP])
+def stream_rejection_counts(spark, sf_dir):
+    return corpus_stream.drained(spark, corpus_stream.rejection_counts(_stream(spark, sf_dir, "documents")), "complete")
+
+
+@query(f"SELECT count(DISTINCT {HASH}) AS n FROM documents")
+def stream_dedup(spark, sf_dir):
+    return corpus_stream.drained(spark, corpus_stream.dedup(_stream(spark, sf_dir, "documents")).select("h"), "append").agg(F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_tumbling(spark, sf_dir):
+    out = corpus_stream.windowed(table(spark, sf_dir, "events"), "1 hour")
+    return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, event_type, value FROM events) GROUP BY 1, 2")
+def events_sliding(spark, sf_dir):
+    out = corpus_stream.windowed(table(spark, sf_dir, "events"), "1 hour", "30 minutes")
+    return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), c AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, s DESC ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM c GROUP BY user_id, k")
+def events_session(spark, sf_dir):
+    out = corpus_stream.sessions(table(spark, sf_dir, "events"), "30 minutes")
+    return out.select("user_id", F.col("w.start").alias("start"), "n")
