@@ -53,7 +53,7 @@ def shingles(text: str | None) -> np.ndarray:
     n = len(words) - WORDS + 1
     if n < 1:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))] if words else [], "uint64")
-    if len(_HASHES) > 500_000:
+    if len(_HASHES) > 100_000:
         _HASHES.clear()
     for w in set(words).difference(_HASHES):
         _HASHES[w] = xxhash.xxh3_64_intdigest(w)

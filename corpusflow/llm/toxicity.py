@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: Linear, name: str = "score") -> DataFrame:
         for b in batches:
             out = np.empty(b.num_rows)
             for i, text in enumerate(b.column(at).to_pylist()):
-                if len(seen) > 500_000:
+                if len(seen) > 150_000:
                     seen.clear()
                 own: dict[str, float] = {}
                 for token in set(text.lower().split()) if text else ():

@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 #: Characters from which a pre-token counts as long, and of one leaf.
 LONG, LEAF = 512, 128
 #: Words, and pre-tokens, kept by one worker.
-CACHE = 500_000
+CACHE = 200_000
 
 _LATIN = [chr(c) for c in range(0x180)]
 
