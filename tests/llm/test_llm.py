@@ -127,6 +127,36 @@ def test_edit_distance_against_the_table():
         assert lines.edit_distance(a, b) == slow(a, b)
 
 
+def test_line_hashes_against_words():
+    texts = ["", "a b c d\n\nOne, two 3 four five six\n", " ".join(f"w{i}" for i in range(700)), "x\none TWO 4 four,five six", "\n".join(words(random.Random(i), 30) for i in range(40))]
+    row, line, key, sim = lines.hashed_lines([lines.folded(t) for t in texts])
+    plain = [(i, j, b" ".join(x)) for i, t in enumerate(texts) for j, x in enumerate(lines.normalised(t)) if len(x) >= lines.LEAST_WORDS]
+    assert [(i, j) for i, j, _ in plain] == list(zip(row.tolist(), line.tolist()))
+    assert len(set(key.tolist())) == len({x for *_, x in plain}) < len(plain)
+    assert len(set(zip((x for *_, x in plain), key.tolist(), sim.tolist()))) == len(set(key.tolist()))
+    full = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+        return h ^ h >> 31
+
+    for (*_, x), got in zip(plain, sim):
+        hashes = [mixed(mixed(sum(c * pow(int(lines._FACTOR), i + 1, 1 << 64) for i, c in enumerate(w)) & full) >> 24) for w in set(x.split())]
+        want = sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+        assert want == int(got) & full
+    assert all(len(x) == 0 for x in lines.hashed_lines([])) and all(len(x) == 0 for x in lines.hashed_lines([b"", b"a b"]))
+
+
+def test_edit_similarity_is_exact_at_its_bound():
+    r = random.Random(8)
+    for _ in range(2000):
+        x = [r.choice("ab cd efg h ijk lmn".split()) for _ in range(r.randint(0, 9))]
+        y = [r.choice("ab efg zz".split()) if r.random() < 0.2 else w for w in x][r.randint(0, 1) :]
+        a, b = " ".join(x), " ".join(y)
+        assert lines.edit_similar(a, b) == (5 * lines.edit_distance(a, b) <= max(len(a), len(b)))
+
+
 def test_line_dedup(spark):
     long = "the quick brown fox jumps over the lazy dog near the old river bank every single morning of this year"
     docs = table(spark, [f"{long}\nshort one", f"First, own words stand in this line\n{long.upper()}!", "short one", None, ""])
