@@ -14,15 +14,17 @@ def general_rejection(text: Column, language: Column | None = None, language_sco
     """Text tests, cheap ones first; metadata tests where columns are given. A
     missing language counts as English, missing scores pass."""
     n = F.length(text)
-    plain = n - F.length(F.regexp_replace(text, X.UNPRINTABLE, ""))
-    alnum = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
+    plain = n - F.length(F.regexp_replace(text, f"{X.UNPRINTABLE}+", ""))
+    alnum = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
     lines = F.filter(F.transform(F.split(text, X.LINE_END), X.collapsed), lambda x: x != "")
+    # Bound in a lambda, the lines are made once.
+    repetitive = F.exists(F.array(lines), lambda x: (F.size(x) >= 10) & (F.size(F.array_distinct(x)) * 2 < F.size(x)))
     out = (
         F.when(n < 200, "too_short")
         .when(n > 200_000, "too_long")
         .when(plain / n > 0.02, "non_printable")
         .when(alnum / n < 0.25, "low_alphanumeric_ratio")
-        .when((F.size(lines) >= 10) & (F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)) < 0.5), "repetitive_lines")
+        .when(repetitive, "repetitive_lines")
     )
     if language is not None:
         out = out.when(~F.lower(F.coalesce(language, F.lit("en"))).isin(*LANGUAGES), "non_english")
