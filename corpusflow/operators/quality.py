@@ -10,22 +10,27 @@ from ..functions import text as X
 LANGUAGES = ("en", "eng", "english")
 
 
-def general_rejection(text: Column, language: Column | None = None, language_score: Column | None = None, education: Column | None = None) -> Column:
-    """Text tests, cheap ones first; metadata tests where columns are given. A
-    missing language counts as English, missing scores pass."""
+def _text_rejection(text: Column) -> Column:
     n = F.length(text)
     plain = n - F.length(F.regexp_replace(text, f"{X.UNPRINTABLE}+", ""))
     alnum = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
     lines = F.filter(F.transform(F.split(text, X.LINE_END), X.collapsed), lambda x: x != "")
     # Bound in a lambda, the lines are made once.
     repetitive = F.exists(F.array(lines), lambda x: (F.size(x) >= 10) & (F.size(F.array_distinct(x)) * 2 < F.size(x)))
-    out = (
+    return (
         F.when(n < 200, "too_short")
         .when(n > 200_000, "too_long")
         .when(plain / n > 0.02, "non_printable")
         .when(alnum / n < 0.25, "low_alphanumeric_ratio")
         .when(repetitive, "repetitive_lines")
     )
+
+
+def general_rejection(text: Column, language: Column | None = None, language_score: Column | None = None, education: Column | None = None) -> Column:
+    """Text tests, cheap ones first; metadata tests where columns are given. A
+    missing language counts as English, missing scores pass."""
+    reason = F.element_at(F.transform(F.array(text), _text_rejection), 1)  # bound in a lambda, the text is made once
+    out = F.when(reason.isNotNull(), reason)
     if language is not None:
         out = out.when(~F.lower(F.coalesce(language, F.lit("en"))).isin(*LANGUAGES), "non_english")
     if language_score is not None:
