@@ -166,6 +166,27 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_lines_with_changed_words_against_brute_force(spark):
+    r = random.Random(5)
+    own = iter(range(10**6))
+    texts = []
+    for n, changed in [(5, 1), (8, 1), (10, 1), (10, 2), (20, 1), (20, 3), (45, 1), (45, 8), (100, 1), (100, 18)] * 6:
+        x = [f"{r.choice('bcdfghklm')}{r.randrange(10**4):04d}{r.choice('aeiou')}" if n > 5 else f"{r.randrange(10**6):06d}x" for _ in range(n)]
+        x = [w.translate(str.maketrans("0123456789", "abcdefghij")) for w in x]
+        y = list(x)
+        for i in r.sample(range(n), changed):
+            y[i] = "zq" + "".join("abcdefghij"[int(c)] for c in f"{next(own):04d}")
+        texts += [" ".join(x), " ".join(y)]
+    group = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if lines.edit_similar(texts[i], texts[j]):
+                group = [group[i] if g == group[j] else g for g in group]
+    assert len(set(group)) <= len(texts) / 2 + 6
+    got = {r.doc_id: r.n_dropped for r in lines.dedup_lines(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [int(g in group[:i]) for i, g in enumerate(group)]
+
+
 def test_fingerprints(spark):
     texts = [t or "" for t in ODD] + [words(random.Random(5), 300)]
     rows = {r.doc_id: r for r in winnowing.fingerprints(table(spark, ODD + texts[-1:])).collect()}
