@@ -187,6 +187,17 @@ def test_lines_with_changed_words_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == [int(g in group[:i]) for i, g in enumerate(group)]
 
 
+def test_lines_without_blanks_take_part(spark):
+    r = random.Random(3)
+    han, thai = ("".join(chr(r.randrange(a, b)) for _ in range(60)) for a, b in ((0x4E00, 0x9F00), (0xE01, 0xE2F)))
+    url = "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(200))
+    texts = [han, thai, url, "an uncommonly lengthy heading", han[:20] + "一" + han[21:40] + "丁" + han[40:], thai, url[:90] + "y" + url[91:], "an uncommonly lengthy heading", "short one", "short one"]
+    got = {x.doc_id: x.n_dropped for x in lines.dedup_lines(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [0] * 4 + [1] * 4 + [0] * 2
+    *_, n, size, _ = lines._split([("  一二 abc 丁é\n" + "xy" * 15 + "\n").encode()])
+    assert size.tolist() == [9, 30] and n[0] == 5
+
+
 def test_fingerprints(spark):
     texts = [t or "" for t in ODD] + [words(random.Random(5), 300)]
     rows = {r.doc_id: r for r in winnowing.fingerprints(table(spark, ODD + texts[-1:])).collect()}
