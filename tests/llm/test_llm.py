@@ -194,10 +194,17 @@ def test_lines_without_blanks_take_part(spark):
     texts = [han, thai, url, "an uncommonly lengthy heading", han[:20] + "一" + han[21:40] + "丁" + han[40:], thai, url[:90] + "y" + url[91:], "an uncommonly lengthy heading", "short one", "short one"]
     got = {x.doc_id: x.n_dropped for x in lines.dedup_lines(table(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == [0] * 4 + [1] * 4 + [0] * 2
-    *_, n, size, _ = lines._split([("  一二 abc 丁é\n" + "xy" * 15 + "\n").encode()])
+    _, _, n, size, *_ = lines._split([("  一二 abc 丁é\n" + "xy" * 15 + "\n").encode()])
     assert size.tolist() == [9, 30] and n[0] == 5
 
 
+def test_lines_of_other_digits_are_no_copies(spark):
+    log = "the nightly job for the table of open orders has ended without any error at {}"
+    texts = ["10,20,30,40,50", "1234,5678,9012,3456,7890", "99,88,77,66,55", "9876,5432,1098,7654,3210", log.format("10:15"), log.format("23:48"), "1234,5678,9012,3456,7890", "1234,5678,9012,3456,7891"]
+    got = {x.doc_id: x.n_dropped for x in lines.dedup_lines(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [0] * 5 + [1] * 3
+
+
 def test_fingerprints(spark):
     texts = [t or "" for t in ODD] + [words(random.Random(5), 300)]
     rows = {r.doc_id: r for r in winnowing.fingerprints(table(spark, ODD + texts[-1:])).collect()}
