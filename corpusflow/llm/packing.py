@@ -114,9 +114,8 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, large:
 
 
 def best_plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, large: float = LARGE) -> list[tuple[int, int, int, int, int]]:
-    """The plan with the fewest sequences among a few settings of the scheme,
-    the last of which counts no length as large: best-fit alone."""
-    tried = [plan(histogram, capacity, g, share) for g, share in ((groups, large), (4 * groups, large), (groups, 2 * large), (groups, 1.0))]
+    """The plan with the fewest sequences among a few settings of the scheme."""
+    tried = [plan(histogram, capacity, g, share) for g, share in ((groups, large), (4 * groups, large), (groups, 2 * large))]
     return min(tried, key=lambda p: max((first + end - begin for _, begin, end, first, _ in p), default=0))
 
 

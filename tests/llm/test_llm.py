@@ -72,6 +72,13 @@ def test_plan_never_overflows():
         assert seen == h and max(load.values()) <= 100
 
 
+def test_plans_group_large_lengths(monkeypatch):
+    plan, shares = packing.plan, []
+    monkeypatch.setattr(packing, "plan", lambda h, capacity, groups, large: shares.append(large) or plan(h, capacity, groups, large))
+    packing.best_plan({90: 3, 60: 5, 35: 8, 10: 20}, 100)
+    assert shares and max(shares) < 1
+
+
 def test_jaccard_against_brute_force(spark):
     rng = random.Random(3)
     texts = list(ODD)
