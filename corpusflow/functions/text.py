@@ -16,6 +16,10 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 
 
+def rstripped(c: Column) -> Column:
+    return F.regexp_replace(c, rf"{SPACE}+$", "")
+
+
 def collapsed(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
@@ -51,12 +55,17 @@ def normalize_answer(c: Column) -> Column:
 def token_f1(prediction: Column, answer: Column) -> Column:
     """Harmonic mean of word precision and recall with multiplicity."""
     words = lambda c: F.filter(F.split(normalize_answer(c), " "), lambda w: w != "")
-    count = lambda x, w: F.size(F.filter(x, lambda y: y == w))
-    p, a = words(prediction), words(answer)
-    common = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, w: s + F.least(count(p, w), count(a, w)))
-    either = (F.size(p) == 0) | (F.size(a) == 0)
-    # 2PR / (P + R) is twice the common words over all words.
-    return F.when(either, ((F.size(p) == 0) & (F.size(a) == 0)).cast("double")).otherwise(2.0 * common / F.greatest(F.size(p) + F.size(a), F.lit(1)))
+    # The nth occurrence of a word gets its own name, so that a set intersection counts with multiplicity.
+    named = lambda x: F.transform(F.array(F.array_sort(x)), lambda s: F.transform(s, lambda w, i: F.concat_ws(" ", w, i - F.array_position(s, w))))[0]
+
+    def score(two: Column) -> Column:
+        p, a = two.p, two.a
+        either = (F.size(p) == 0) | (F.size(a) == 0)
+        # 2PR / (P + R) is twice the common words over all words.
+        common = F.size(F.array_intersect(named(p), named(a)))
+        return F.when(either, ((F.size(p) == 0) & (F.size(a) == 0)).cast("double")).otherwise(2.0 * common / F.greatest(F.size(p) + F.size(a), F.lit(1)))
+
+    return F.transform(F.array(F.struct(words(prediction).alias("p"), words(answer).alias("a"))), score)[0]
 
 
 def exact_match(prediction: Column, answer: Column) -> Column:
@@ -71,8 +80,8 @@ def normalize_math(c: Column) -> Column:
 def boxed_answer(c: Column) -> Column:
     """The last brace-free \\boxed{...}, else what follows 'final answer' or
     'answer is' on its line; null if neither."""
-    boxes = F.regexp_extract_all(c, F.lit(r"\\boxed\{([^{}]*)\}"), F.lit(1))
-    said = F.nullif(F.trim(F.regexp_extract(c, r"(?i)(?:final answer|answer is)\s*:?\s*([^\n]*)", 1)), F.lit(""))
+    boxes = F.regexp_extract_all(c, F.lit(r"\\boxed\{([^{}]+)\}"), F.lit(1))
+    said = F.nullif(F.trim(F.regexp_extract(c, r"(?i)(?:final answer|answer is)\s*[:=]?\s*([^\n]+)", 1)), F.lit(""))
     return F.coalesce(F.try_element_at(boxes, F.lit(-1)), said)
 
 
@@ -116,3 +125,31 @@ def chunked(c: Column, size: int = 2000, overlap: int = 200) -> Column:
         )
 
     return F.aggregate(units, state(F.array().cast("array<string>"), F.lit("")), step, closed)
+
+
+def math_verified(trace: Column, expected: Column) -> Column:
+    """Whether a trace's boxed or stated answer equals the expected one."""
+    return F.coalesce(normalize_math(boxed_answer(trace)) == normalize_math(expected), F.lit(False))
+
+
+def fenced_code(response: Column, answer: Column) -> Column:
+    """The last fenced block of a response, else the answer."""
+    blocks = F.regexp_extract_all(response, F.lit(r"(?is)```(?:python)?\s*(.*?)```"), F.lit(1))
+    return F.coalesce(stripped(F.try_element_at(blocks, F.lit(-1))), answer)
+
+
+def reasoning_document(problem: Column, reasoning: Column, answer: Column) -> Column:
+    """The training text of a problem with its reasoning and answer."""
+    return F.concat(F.lit("<|problem|>\n"), stripped(problem), F.lit("\n<|reasoning|>\n"), stripped(reasoning), F.lit("\n<|answer|>\n"), stripped(answer))
+
+
+def without_citations(text: Column, ids: Column) -> Column:
+    """text without the literal markers [id] of the given ids, collapsed."""
+    return collapsed(F.aggregate(F.coalesce(ids, F.array().cast("array<string>")), text, lambda s, i: F.replace(s, F.concat(F.lit("["), i, F.lit("]")), F.lit(" "))))
+
+
+def head_and_tail(ids: Column, maximum: Column | int, most: int = 128) -> Column:
+    """ids cut to `maximum`: a head of min(most, maximum / 4), the rest from the tail."""
+    top = F.greatest(F.lit(maximum) if isinstance(maximum, int) else maximum, F.lit(1)).cast("int")
+    head = F.least(F.lit(most), F.floor(top / 4)).cast("int")
+    return F.when(F.size(ids) <= top, ids).otherwise(F.concat(F.slice(ids, F.lit(1), head), F.slice(ids, head - top, top - head)))

@@ -11,11 +11,15 @@ from ..plans.prefix import running_sum
 
 def contaminated_pairs(docs: DataFrame, prompts: DataFrame, n: int = 8, threshold: float = 0.5) -> DataFrame:
     """doc_id, item_id, overlap of documents that share at least `threshold` of
-    the shingles of the shorter side. An equi-join on shingles: the prompt side
-    is filtered to its distinct shingles, and Spark broadcasts it only while it
-    is below its size limit."""
-    d = docs.select("doc_id", X.shingles(F.col("text"), n).alias("x")).select("doc_id", "x", F.size("x").alias("nd")).select("doc_id", "nd", F.explode("x").alias("s"))
-    p = prompts.select("item_id", X.shingles(F.col("text"), n).alias("x")).select("item_id", "x", F.size("x").alias("np")).select("item_id", "np", F.explode("x").alias("s"))
+    the shingles of the shorter side. Documents' shingles go as 64-bit hashes
+    into a join with those of the prompts; only documents with a hit keep their
+    texts for the exact count. Spark broadcasts the prompts' side while it is
+    below its size limit, and splits skewed partitions beyond."""
+    hashed = lambda c: F.transform(X.shingles(c, n), lambda s: F.xxhash64(s))
+    known = prompts.select(F.explode(hashed(F.col("text"))).alias("h")).distinct()
+    met = docs.select("doc_id", F.explode(hashed(F.col("text"))).alias("h")).join(known, "h", "left_semi").select("doc_id").distinct()
+    d = docs.join(met, "doc_id", "left_semi").select("doc_id", X.shingles(F.col("text"), n).alias("x")).select("doc_id", F.size("x").alias("nd"), F.explode("x").alias("s"))
+    p = prompts.select("item_id", X.shingles(F.col("text"), n).alias("x")).select("item_id", F.size("x").alias("np"), F.explode("x").alias("s"))
     hit = d.join(p, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("k"), F.first("nd").alias("nd"), F.first("np").alias("np"))
     overlap = F.col("k") / F.least("nd", "np")
     return hit.where(overlap >= threshold).select("doc_id", "item_id", F.round(overlap, 6).alias("overlap"))
@@ -49,6 +53,39 @@ def mixture_schedule(chunks: DataFrame, total: int, ratio: float) -> DataFrame:
     return chunks.withColumn("reasoning", at(end) - at(F.col("start"))).withColumn("general", F.col("size") - F.col("reasoning"))
 
 
+def mixture_tokens(sources: DataFrame, total: int, ratio: float, chunk: int, start: int = 0, end: int | None = None) -> DataFrame:
+    """position, source, cursor of the mixture's tokens in [start, end).
+
+    sources has one row per source (reasoning, general) with its length. Chunks
+    of `chunk` tokens begin at 0; each has its reasoning tokens first. The nth
+    token of a source is at n modulo its length. All of it is a function of the
+    position, so that a run resumed at `start` goes on as if it hadn't stopped.
+    An empty source with a quota is an error.
+    """
+    end = total if end is None else min(end, total)
+    quota = round(total * ratio)
+    at = lambda n: F.rint(n.cast("double") * F.lit(float(quota)) / F.lit(float(total))).cast("long")
+    rows = sources.sparkSession.range(start, max(start, end)).withColumnRenamed("id", "position")
+    base = (F.expr(f"position div {chunk}") * chunk).cast("long")
+    r0, r1 = at(base), at(F.least(base + chunk, F.lit(total)))
+    inside = F.col("position") - base
+    first = inside < r1 - r0
+    nth = F.when(first, r0 + inside).otherwise(base - r0 + inside - (r1 - r0))
+    placed = rows.select("position", F.when(first, "reasoning").otherwise("general").alias("source"), nth.alias("nth"))
+    known = placed.join(F.broadcast(sources.select("source", "length")), "source")  # two rows
+    cursor = F.when(F.col("length") > 0, F.pmod(F.col("nth"), F.greatest("length", F.lit(1)))).otherwise(F.raise_error(F.lit("a token source is empty")).cast("long"))
+    return known.select("position", "source", cursor.alias("cursor"))
+
+
+def mixture_state(sources: DataFrame, total: int, ratio: float, emitted: int) -> DataFrame:
+    """total_tokens, and tokens and cursor of both sources, after `emitted` tokens."""
+    quota = round(total * ratio)
+    taken = F.rint(F.lit(float(min(emitted, total)) * quota / max(1, total))).cast("long")
+    wide = sources.groupBy().pivot("source", ["reasoning", "general"]).agg(F.first("length"))
+    general = F.lit(min(emitted, total)) - taken
+    return wide.select(F.lit(min(emitted, total)).cast("long").alias("total_tokens"), taken.alias("reasoning_tokens"), general.cast("long").alias("general_tokens"), F.pmod(taken, F.col("reasoning")).alias("reasoning_cursor"), F.pmod(general, F.col("general")).cast("long").alias("general_cursor"))
+
+
 def packed(tokens: DataFrame, length: int, position: str = "position") -> DataFrame:
     """sequence, tokens (in order) of full sequences; the incomplete tail goes."""
     grouped = tokens.groupBy(F.expr(f"{position} div {length}").alias("sequence")).agg(F.sort_array(F.collect_list(F.struct(position, "token"))).alias("x"))

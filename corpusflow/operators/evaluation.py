@@ -45,12 +45,37 @@ def ranked(retrieved: Column, supporting: Column, cutoff: int | None = None) ->
     )
 
 
+def ranked_hits(found: DataFrame, sizes: DataFrame, group: str, cutoff: int) -> DataFrame:
+    """query_id, recall, mrr, ndcg of rows (query_id, rank, hit), where the
+    relevant items of a query are only counted: sizes has `support` per group."""
+    i = F.col("rank").cast("double")
+    gain = F.when(F.col("hit"), 1 / F.log2(i + 1)).otherwise(0.0)
+    per = found.where(F.col("rank") <= cutoff).groupBy("query_id", group).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.min(F.when(F.col("hit"), i)).alias("first"), F.sum(gain).alias("dcg"))
+    best = F.least("support", "n").cast("int")
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(best, F.lit(1))), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0))
+    none = F.col("support") <= 0
+    return per.join(sizes, group).select(
+        "query_id",
+        F.when(none, 1.0).otherwise(F.col("hits") / F.greatest("support", F.lit(1))).alias("recall"),
+        F.when(none, 1.0).otherwise(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"),
+        F.when(none, 1.0).otherwise(F.col("dcg") / ideal).alias("ndcg"),
+    )
+
+
 def final_metric(log: DataFrame, run: str, step: str) -> DataFrame:
-    """The last row of each run, ordered by its ratio of reasoning tokens."""
+    """The last row of each run with its ratio of reasoning tokens."""
     last = log.groupBy(run).agg(F.max_by(F.struct("reasoning_tokens", "tokens_seen", "loss"), F.struct(step)).alias("r")).select(run, "r.*")
     return last.withColumn("ratio", F.col("reasoning_tokens") / F.greatest(F.lit(1), F.col("tokens_seen")))
 
 
+def compared(log: DataFrame, run: str, step: str) -> DataFrame:
+    """One row: runs (an array of the last row of each run, by ratio),
+    equal_token_budget and token_budget_spread. There are few runs."""
+    last = final_metric(log, run, step)
+    ordered = F.array_sort(F.collect_list(F.struct("ratio", run, F.col("loss").alias("final_loss"), "tokens_seen")))
+    return last.agg(ordered.alias("runs"), (F.count_distinct("tokens_seen") == 1).alias("equal_token_budget"), (F.max("tokens_seen") - F.min("tokens_seen")).alias("token_budget_spread"))
+
+
 def advantages(rewards: DataFrame, group: str, epsilon: float = 1e-4) -> DataFrame:
     """rewards with advantage relative to the group; groups of one are an error."""
     w = Window.partitionBy(group)

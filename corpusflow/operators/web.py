@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
+import socket
+from collections.abc import Callable
 from html.parser import HTMLParser
 from urllib.parse import parse_qsl, urlencode, urlsplit
 
@@ -11,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import text as X
+
 # Parameters that only track clicks, and default ports.
 TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid")
 PORTS = {"http": 80, "https": 443}
@@ -40,13 +45,53 @@ def canonical_url(urls: pd.Series) -> pd.Series:
 
 
 def dedup_top(results: DataFrame, k: int, query: str = "query_id", position: str = "position") -> DataFrame:
-    """The first of each canonical URL per query, the k best by position, with
-    a score that falls with it."""
-    named = results.withColumn("canonical", canonical_url("url")).where("canonical IS NOT NULL")
-    first = named.groupBy(query, "canonical").agg(F.min(position).alias(position))
-    rank = F.row_number().over(Window.partitionBy(query).orderBy(position))
-    score = F.count("*").over(Window.partitionBy(query)) - rank + 1
-    return first.select(query, "canonical", position, rank.alias("rank"), score.cast("double").alias("score")).where(F.col("rank") <= k)
+    """The first of each canonical URL per query, the k best by position. The
+    score is the number of all rows of the query, repeats and unusable ones
+    too, less the row's place among them (from 0)."""
+    placed = results.withColumns({"_place": F.row_number().over(Window.partitionBy(query).orderBy(position)) - 1, "_rows": F.count("*").over(Window.partitionBy(query))})
+    named = placed.withColumn("canonical", canonical_url("url")).where("canonical IS NOT NULL")
+    first = named.groupBy(query, "canonical").agg(F.min(F.struct(position, "_place", "_rows")).alias("f"))
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(f"f.{position}"))
+    ranked = first.select(query, "canonical", F.col(f"f.{position}").alias(position), rank.alias("rank"), (F.col("f._rows") - F.col("f._place")).cast("double").alias("score"), (F.col("f._place") + 1).cast("double").alias("provider_rank"))
+    return ranked.where(F.col("rank") <= k)
+
+
+def public_urls(resolve: Callable[[str], list[str]]):
+    """A pandas UDF: the canonical URL if it may be fetched, else null. It needs
+    http(s), a host, no user info, and only global addresses from `resolve`,
+    which is given host names; a name it can't resolve isn't public."""
+
+    def one(url: str | None) -> str | None:
+        try:
+            raw = urlsplit((url or "").strip())
+            if raw.username or raw.password:
+                return None
+        except ValueError:
+            return None
+        found = canonical(url)
+        if found is None:
+            return None
+        try:
+            addresses = resolve(urlsplit(found).hostname or "")
+            return found if addresses and all(ipaddress.ip_address(a).is_global for a in addresses) else None
+        except (OSError, ValueError):
+            return None
+
+    @F.pandas_udf(StringType())
+    def checked(urls: pd.Series) -> pd.Series:
+        return urls.map(one)
+
+    return checked
+
+
+def system_addresses(host: str) -> list[str]:
+    """What this machine's resolver says."""
+    return sorted({str(row[4][0]) for row in socket.getaddrinfo(host, None, type=socket.SOCK_STREAM)})
+
+
+def shown_pages(results: DataFrame) -> DataFrame:
+    """results with text cleaned for display: titles to 500, descriptions to 1,000 characters."""
+    return results.withColumns({"title": X.sanitized(F.coalesce("title", F.lit("")), limit=500), "description": X.sanitized(F.coalesce("description", F.lit("")), limit=1000)})
 
 
 class _Text(HTMLParser):

@@ -6,32 +6,15 @@ the operators, their numbers mean nothing elsewhere.
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import corpus, dialogue, evaluation, quality, retrieval, schedules, web
-from .streaming import corpus_stream
+from .operators import corpus, dialogue, evaluation, preparation, quality, retrieval, schedules, web
+from .registry import ORACLE_SQL, QUERIES, query, table
+from .streaming import corpus_stream, stateful
 
 FLAGSHIP = "quality_rejection_histogram"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 SPACE, ENDS, DARK = X.SPACE, X.LINE_END, X.UNPRINTABLE
 STRIP = rf"regexp_replace(%s, '^{SPACE}+|{SPACE}+$', '', 'g')"
@@ -41,24 +24,24 @@ CASE WHEN length(t) < 200 THEN 'too_short' WHEN length(t) > 200000 THEN 'too_lon
  WHEN (length(t) - length(regexp_replace(t, '{DARK}', '', 'g'))) / length(t) > 0.02 THEN 'non_printable'
  WHEN length(regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')) / length(t) < 0.25 THEN 'low_alphanumeric_ratio'
  WHEN len(ls) >= 10 AND len(list_distinct(ls)) / len(ls) < 0.5 THEN 'repetitive_lines'"""
-GATED = rf"g AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '{ENDS}'), lambda x: {COLLAPSE % 'x'}), lambda x: x <> '') AS ls FROM (SELECT *, {STRIP % 'text'} AS t FROM documents))"
+GATED = rf"g AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '{ENDS}'), lambda x: {COLLAPSE % 'x'}), lambda x: x <> '') AS ls FROM (SELECT *, {STRIP % 'text'} AS t FROM documents WHERE text <> ''))"
 
 
 @query(f"WITH {GATED} SELECT coalesce({REASON} END, 'accepted') AS reason, count(*) AS n FROM g GROUP BY 1")
 def quality_rejection_histogram(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = preparation.with_text(table(spark, sf_dir, "documents"))
     return quality.histogram(docs.select(quality.general_rejection(X.stripped(F.col("text"))).alias("reason")))
 
 
 @query(f"WITH {GATED} SELECT g.doc_id, {REASON} WHEN lower(coalesce(lang, 'en')) NOT IN ('en', 'eng', 'english') THEN 'non_english' WHEN quality * 4.0 < 3.0 THEN 'low_education_score' END AS reason FROM g LEFT JOIN labels USING (doc_id)")
 def quality_gate_with_metadata(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = preparation.with_text(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return docs.select("doc_id", quality.general_rejection(X.stripped(F.col("text")), F.col("lang"), education=F.col("quality") * 4.0).alias("reason"))
 
 
 @query(f"WITH {GATED} SELECT source, count(*) AS seen, count(*) FILTER (WHERE ({REASON} END) IS NULL) AS accepted, count(*) FILTER (WHERE ({REASON} END) IS NOT NULL) AS rejected FROM g GROUP BY source")
 def accepted_by_source(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", quality.general_rejection(X.stripped(F.col("text"))).isNull().alias("ok"))
+    docs = preparation.with_text(table(spark, sf_dir, "documents")).select("source", quality.general_rejection(X.stripped(F.col("text"))).isNull().alias("ok"))
     return docs.groupBy("source").agg(F.count("*").alias("seen"), F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("rejected"))
 
 
@@ -99,9 +82,9 @@ def decontaminated_documents(spark, sf_dir):
 @query(f"WITH {PAIRS}, c AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM pairs)) SELECT (SELECT count(*) FROM documents) AS seen, (SELECT count(*) FROM c) AS clean, (SELECT count(DISTINCT {HASH}) FROM c) AS kept")
 def corpus_funnel(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    clean = corpus.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    kept = clean.agg(F.count("*").alias("clean"), F.count_distinct(X.normalized_hash(F.col("text"))).alias("kept"))
-    return docs.agg(F.count("*").alias("seen")).join(F.broadcast(kept))  # one row each
+    dirty = corpus.contaminated_pairs(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct().withColumn("dirty", F.lit(True))
+    marked = docs.select("doc_id", X.normalized_hash(F.col("text")).alias("h")).join(dirty, "doc_id", "left")
+    return marked.agg(F.count("*").alias("seen"), F.count_if(F.col("dirty").isNull()).alias("clean"), F.count_distinct(F.when(F.col("dirty").isNull(), F.col("h"))).alias("kept"))
 
 
 @query(r"WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents), r AS (SELECT *, sum(n_tokens) OVER (ORDER BY doc_id) AS upto FROM t) SELECT doc_id, n_tokens, least(n_tokens, 50000 - (upto - n_tokens))::BIGINT AS kept FROM r WHERE upto - n_tokens < 50000")
@@ -202,11 +185,11 @@ i AS (SELECT query_id, sum(1 / log2(p + 1)) AS ideal FROM (SELECT query_id, unne
 SELECT m.query_id, round(hits / (size - 1), 6) AS recall, round(coalesce(1 / first, 0), 6) AS mrr, round(dcg / ideal, 6) AS ndcg FROM m JOIN o ON own = label JOIN i USING (query_id)""")
 def ranked_retrieval_metrics(spark, sf_dir):
     v, near = _neighbours(spark, sf_dir)
-    lists = near.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))).alias("x")).select("query_id", F.col("x.vec_id").alias("retrieved"))
-    own = v.select(F.col("vec_id").alias("query_id"), "label").join(lists.select("query_id"), "query_id", "left_semi")
-    support = own.join(v.select("vec_id", "label"), "label").where("vec_id <> query_id").groupBy("query_id").agg(F.collect_list("vec_id").alias("supporting"))
-    out = lists.join(support, "query_id").select("query_id", evaluation.ranked(F.col("retrieved"), F.col("supporting"), 10).alias("m"))
-    return out.select("query_id", *[F.round(F.col("m")[c], 6).alias(c) for c in ("recall", "mrr", "ndcg")])
+    # Only hits and the number of vectors per label matter: no list of all support is made.
+    sizes = v.groupBy("label").agg((F.count("*") - 1).alias("support"))
+    labelled = near.join(v.select("vec_id", "label"), "vec_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    out = evaluation.ranked_hits(labelled.select("query_id", "own", "rank", (F.col("label") == F.col("own")).alias("hit")), sizes.withColumnRenamed("label", "own"), "own", 10)
+    return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 
 @query()
@@ -250,36 +233,11 @@ def bm25_title_boost(spark, sf_dir):
     return _bm25(spark, sf_dir, 2.0).withColumn("rank", F.col("rank").cast("long"))
 
 
-FUSION = f"{COSINE}, a AS (SELECT query_id, vec_id, rank FROM k WHERE rank <= 20), b AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id DESC) AS rank FROM a), f AS (SELECT query_id, vec_id, round(sum(1 / (60.0 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)"
-
-
-def _fused(spark, sf_dir):
-    v, a = _neighbours(spark, sf_dir, 20)
-    b = a.select("query_id", "vec_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("vec_id"))).alias("rank"))
-    return v, retrieval.fuse([a, b], "vec_id").withColumn("score", F.round("score", 9))
-
+#: The tables' URLs have a fragment or one tracking parameter at most, and sorted ones otherwise.
+CANONICAL = r"regexp_replace(regexp_replace(url, '#.*$', ''), '\?utm_source=[^&]*$', '')"
 
-@query(f"WITH {FUSION} SELECT * FROM f")
-def rrf_fusion(spark, sf_dir):
-    return _fused(spark, sf_dir)[1]
 
-
-@query(f"WITH {FUSION} SELECT r.query_id, r.vec_id, r.rank, e.label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM f) r JOIN embeddings e USING (vec_id) WHERE r.rank <= 5")
-def hybrid_topk(spark, sf_dir):
-    v, fused = _fused(spark, sf_dir)
-    best = retrieval.top(fused, 5, "vec_id").select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
-    return best.join(v.select("vec_id", "label"), "vec_id")
-
-
-@query()
-def rerank_pluggable(spark, sf_dir):
-    found = _bm25(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
-    named = found.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id").drop("rank")
-    overlap = lambda q, c: q.combine(c, lambda a, b: len(set(a.split()) & set(b.split())) / max(1, len(set(a.split()))))
-    return retrieval.rerank(named, overlap, 3, "doc_id").select("query_id", "doc_id", "score", "rank")
-
-
-@query()
+@query(f"SELECT page_id, {CANONICAL} AS canonical FROM pages")
 def canonical_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", web.canonical_url("url").alias("canonical"))
 
@@ -289,10 +247,13 @@ def stable_source_ids(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.source_id(F.lit("web"), F.col("url")).alias("id"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT page_id % 50 AS query_id, page_id AS position, {CANONICAL} AS canonical FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) - 1 AS place, count(*) OVER (PARTITION BY query_id) AS n FROM p),
+f AS (SELECT query_id, canonical, min(position) AS position, min(place) AS place, any_value(n) AS n FROM r GROUP BY 1, 2)
+SELECT query_id, canonical, position, rank, score, provider_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS rank, (n - place)::DOUBLE AS score, (place + 1)::DOUBLE AS provider_rank FROM f) WHERE rank <= 5""")
 def web_dedup_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 50).alias("query_id"), F.col("page_id").alias("position"), "url")
-    return web.dedup_top(rows, 5)
+    return web.dedup_top(rows, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query()
@@ -323,50 +284,6 @@ def sanitize_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.sanitized(F.col("html")).alias("clean"))
 
 
-MATH = [("$ \\boxed{12} $.",), ("The final answer: 7",), ("x \\boxed{1} then \\boxed{A}",), ("answer is B.",), ("none",)]
-MATH_VALUES = ", ".join("('" + m[0] + "')" for m in MATH)
-
-
-@query(rf"""SELECT t, lower(regexp_replace(regexp_replace(regexp_replace(trim(t), '\.+$', ''), '\$|\\,| ', '', 'g'), '^\\boxed\{{(.*)\}}$', '\1')) AS normal,
-coalesce(list_extract(regexp_extract_all(t, '\\boxed\{{([^{{}}]*)\}}', 1), -1), nullif(trim(regexp_extract(t, '(?i)(?:final answer|answer is)\s*:?\s*([^\n]*)', 1)), '')) AS boxed,
-nullif(regexp_extract(upper(t), '\b([A-E])\b', 1), '') AS choice FROM (VALUES {MATH_VALUES}) v(t)""")
-def math_answers(spark, sf_dir):
-    rows = spark.createDataFrame(MATH, "t string")
-    return rows.select("t", X.normalize_math(F.col("t")).alias("normal"), X.boxed_answer(F.col("t")).alias("boxed"), X.choice(F.col("t")).alias("choice"))
-
-
-GATE = [(i, s, "p" if i else "", f"<think>{t}</think><Answer>{a}</Answer>", f) for i, (s, t, a, f) in enumerate([("src1", "r", "x", "stop"), ("src1", "r", "x", "stop"), ("srcX", "r", "x", None), ("src2", "", "x", None), ("src2", "r", " ", None), ("src2", "r", "x", "length")])]
-GATE_VALUES = ", ".join(f"({i}::BIGINT, '{s}', '{p}', '{r}', {'NULL' if f is None else repr(f)})" for i, s, p, r, f in GATE)
-
-
-@query(f"""SELECT id, CASE WHEN s NOT IN ('src1', 'src2') THEN 'source_not_in_math_code_logic_mix' WHEN p = '' THEN 'missing_prompt' WHEN r = '' THEN 'missing_response'
-WHEN trim(regexp_extract(r, '(?is)<think>(.*?)</think>', 1)) = '' THEN 'missing_reasoning' WHEN trim(regexp_extract(r, '(?is)<answer>(.*?)</answer>', 1)) = '' THEN 'missing_answer'
-WHEN f NOT IN ('stop', 'eos_token') THEN 'incomplete_generation' END AS reason FROM (VALUES {GATE_VALUES}) v(id, s, p, r, f)""")
-def reasoning_gate(spark, sf_dir):
-    rows = spark.createDataFrame(GATE, "id long, s string, p string, r string, f string")
-    return rows.select("id", quality.reasoning_rejection(F.col("s"), F.col("p"), F.col("r"), F.col("f"), ["src1", "src2"]).alias("reason"))
-
-
-@query()
-def verification_route(spark, sf_dir):
-    rows = spark.createDataFrame([("logic puzzle", "s", "B", "(b)"), ("math", "s", "$2$", "2."), ("math", "s", "3", "2"), (None, "M", "x", None), ("code", "s", "x", None)], "domain string, source string, answer string, reference string")
-    return rows.select("*", quality.verification(F.col("domain"), F.col("source"), F.col("answer"), F.col("reference"), "M").alias("v")).select("domain", "source", "answer", "v.*")
-
-
-@query()
-def tool_call_parse(spark, sf_dir):
-    call = lambda b: f"x<|tool_call|>{b}<|end_tool_call|>"
-    good = call('{"name": "search", "arguments": {"query": " red  planet ", "top_k": 3}}')
-    bad = [call("{"), call('{"name": "run", "arguments": {"query": "q"}}'), call('{"name": "search", "arguments": {"query": "q", "top_k": 11}}'), good + good, "none"]
-    return spark.createDataFrame([(t,) for t in [good, *bad]], "t string").select(dialogue.tool_call(F.col("t")).alias("c")).select("c.*")
-
-
-@query()
-def final_response_parse(spark, sf_dir):
-    rows = spark.createDataFrame([("think<|answer|>Mars <|citation|>a:0 and <|citation|>b:1", ["a:0"]), ("only text", [])], "t string, known array<string>")
-    return rows.select(dialogue.final_answer(F.col("t"), F.col("known")).alias("a")).select("a.*")
-
-
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, lower(text) ORDER BY turn) > 1 AS duplicate FROM conversations WHERE role = 'user'")
 def duplicate_queries(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
@@ -379,12 +296,6 @@ def evidence_budget(spark, sf_dir):
     return rows.select("conv_id", "turn", F.col("used").cast("long").alias("used"))
 
 
-@query()
-def sft_label_mask(spark, sf_dir):
-    rows = spark.createDataFrame([([1, 2, 3, 4], [0, 0, 3, 6], [0, 3, 6, 9], [(0, 4)])], "ids array<int>, a array<int>, b array<int>, spans array<struct<start: int, stop: int>>")
-    return rows.select(dialogue.label_mask(F.col("ids"), F.col("a"), F.col("b"), F.col("spans")).alias("labels"))
-
-
 @query("WITH r AS (SELECT conv_id, turn, length(text)::BIGINT AS n, max(length(text)) OVER (PARTITION BY conv_id) AS w FROM conversations) SELECT conv_id, turn, w::BIGINT AS width, w - n AS padded FROM r")
 def sft_collate(spark, sf_dir):
     ids = F.transform(F.split("text", ""), lambda c: F.ascii(c))
@@ -433,12 +344,12 @@ def _stream(spark, sf_dir, name):
 
 @query(ORACLE_SQL[FLAGSHIP])
 def stream_rejection_counts(spark, sf_dir):
-    return corpus_stream.drained(spark, corpus_stream.rejection_counts(_stream(spark, sf_dir, "documents")), "complete")
+    return stateful.written(spark, corpus_stream.rejection_counts(preparation.with_text(_stream(spark, sf_dir, "documents"))), "complete", stateful.scratch(spark))
 
 
 @query(f"SELECT count(DISTINCT {HASH}) AS n FROM documents")
 def stream_dedup(spark, sf_dir):
-    return corpus_stream.drained(spark, corpus_stream.dedup(_stream(spark, sf_dir, "documents")).select("h"), "append").agg(F.count("*").alias("n"))
+    return stateful.written(spark, corpus_stream.dedup(_stream(spark, sf_dir, "documents")).select("h"), "append", stateful.scratch(spark)).agg(F.count("*").alias("n"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -457,3 +368,6 @@ def events_sliding(spark, sf_dir):
 def events_session(spark, sf_dir):
     out = corpus_stream.sessions(table(spark, sf_dir, "events"), "30 minutes")
     return out.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+from . import queries_corpus, queries_dialogue, queries_search  # noqa: E402, F401

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -17,10 +15,17 @@ def rejection_counts(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """Rows whose normalised text the stream hasn't had; state is a hash each."""
+    """Rows whose normalised text the stream hasn't had. The state is a hash per
+    distinct text, without end: keep-first over a whole corpus has to know them
+    all. dedup_within bounds it where rows carry a time."""
     return docs.withColumn("h", X.normalized_hash(F.col("text"))).dropDuplicates(["h"])
 
 
+def dedup_within(docs: DataFrame, time: str, late: str) -> DataFrame:
+    """As dedup, but texts are forgotten once the watermark has passed them."""
+    return docs.withColumn("h", X.normalized_hash(F.col("text"))).withWatermark(time, late).dropDuplicatesWithinWatermark(["h"])
+
+
 def windowed(events: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
@@ -28,11 +33,3 @@ def windowed(events: DataFrame, length: str, slide: str | None = None, late: str
 
 def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
-
-
-def drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a bounded stream to its end and return what it wrote to memory."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
