@@ -67,10 +67,11 @@ def rerank_pluggable(spark, sf_dir):
 
 @query()
 def ann_topk(spark, sf_dir):
-    """The inverted-file index, against which tests measure the exact search."""
+    """The inverted-file index. The tables' vectors hardly cluster: 12 of 16 lists
+    give a recall of 0.976 (sf0.01) and 0.933 (sf0.1) against the exact search."""
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    out = search.Lists(vectors, "vec_id", lists=16).search(6)(queries, 10)
+    out = search.Lists(vectors, "vec_id", lists=16).search(12)(queries, 10)
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
