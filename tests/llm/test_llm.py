@@ -162,6 +162,7 @@ def test_edit_similarity_is_exact_at_its_bound():
         y = [r.choice("ab efg zz".split()) if r.random() < 0.2 else w for w in x][r.randint(0, 1) :]
         a, b = " ".join(x), " ".join(y)
         assert lines.edit_similar(a, b) == (5 * lines.edit_distance(a, b) <= max(len(a), len(b)))
+        assert lines.similar_pairs([a], [b]) == [lines.edit_similar(a, b)]
 
 
 def test_line_dedup(spark):
