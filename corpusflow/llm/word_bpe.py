@@ -25,7 +25,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Characters from which a pre-token counts as long, and of one leaf.
-LONG, LEAF = 512, 128
+LONG, LEAF = 24, 12
 #: Words, and pre-tokens, kept by one worker.
 CACHE = 200_000
 
@@ -178,7 +178,9 @@ _OPEN: dict[tuple, WordBpe] = {}
 
 def opened(path: str, **options) -> WordBpe:
     """The encoder of this worker, made once."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    # The leaves of one batch call are encoded by two threads: what a worker may use besides its JVM.
+    os.environ.setdefault("RAYON_NUM_THREADS", "2")
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
     key = (path, *sorted(options.items()))
     if key not in _OPEN:
         _OPEN[key] = WordBpe(path, **options)
