@@ -1,5 +1,6 @@
-"""Quality rules by host: rule failures are counted per domain, their rates
-shrunk with an empirical beta prior, and the verdicts joined back to documents."""
+"""Quality rules by host: the failures of each rule are counted per domain, their
+rates shrunk with an empirical beta prior, and the verdicts joined back to
+documents."""
 
 from __future__ import annotations
 
@@ -14,6 +15,9 @@ from .common import map_arrow, read_table, staged, text_words
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 #: A host goes if its shrunk failure rate passes this.
 HOST_LIMIT = 0.5
+#: Symbols in 100 characters, and repeated lines per 100 words, beyond which a document is doubtful.
+MOST_SYMBOLS, MOST_DUP_LINES = 10, 2
+RULES = ("rule_base", "rule_symbols", "rule_lines")
 SALTS = 16
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -75,15 +79,26 @@ def measure(docs: DataFrame, host: Column) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), "text"), run, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean")
 
 
-def host_rates(measured: DataFrame) -> DataFrame:
-    """host, n, failed, shrunk (double) per host. The prior's two parameters
-    come from all hosts by moments: the pooled rate, and the spread of host
-    rates beyond what chance gives. Without spread all hosts get the pooled
-    rate; without rows there are no hosts. Null is a host of its own."""
-    hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+def with_rules(measured: DataFrame) -> DataFrame:
+    """measured with a 0/1 column per rule: the base rule; more than MOST_SYMBOLS
+    symbols in 100 characters of words; two or more repeated lines, and more
+    than MOST_DUP_LINES per 100 words."""
+    n = F.greatest("n_words", F.lit(1))
+    symbols = (F.col("n_words") > 0) & (100 * F.col("n_symbols") > MOST_SYMBOLS * F.col("word_chars"))
+    lines = (F.col("n_dup_lines") >= 2) & (100 * F.col("n_dup_lines") > MOST_DUP_LINES * n)
+    return measured.withColumns({"rule_base": F.col("base_failed").cast("long"), "rule_symbols": symbols.cast("long"), "rule_lines": lines.cast("long")})
+
+
+def host_rates(measured: DataFrame, rule: str = "rule_base") -> DataFrame:
+    """host, n, failed, shrunk and pooled (double) per host, for one rule. The
+    prior's two parameters come from all hosts by moments: the pooled rate, and
+    the spread of host rates beyond what chance gives. Without spread all hosts
+    get the pooled rate; without rows there are no hosts. Null is a host of its
+    own."""
+    hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(rule).alias("failed"))
     t = hosts.agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.sum(F.col("n") * F.col("n").cast("double")).alias("nn"), F.sum(F.col("failed") * F.col("failed").cast("double") / F.col("n")).alias("ff")).first()
     a, b = prior(t.hosts, t.n or 0, t.failed or 0, t.nn or 0.0, t.ff or 0.0)
-    return hosts.withColumn("shrunk", (F.col("failed") + a) / (F.col("n") + a + b))
+    return hosts.withColumns({"shrunk": (F.col("failed") + a) / (F.col("n") + a + b), "pooled": F.lit(a / (a + b))})
 
 
 def prior(hosts: int, n: int, failed: int, nn: float, ff: float) -> tuple[float, float]:
@@ -101,15 +116,31 @@ def prior(hosts: int, n: int, failed: int, nn: float, ff: float) -> tuple[float,
 def judge(docs: DataFrame, host: Column, limit: float = HOST_LIMIT, salts: int = SALTS) -> DataFrame:
     """doc_id, COUNTS, base_failed, host_rate and kept of each row of docs.
 
+    For each rule the failures of a host's documents give its shrunk rate. A
+    host is out if a rate passes `limit`: all its documents go. Else a document
+    that fails a softer rule (symbols, repeated lines) goes only where its host
+    fails that rule more than hosts do on the whole (the pooled rate): a good
+    host gets the benefit of the doubt. What fails the base rule always goes.
+    host_rate is the base rule's. Null and empty texts fail the base rule;
+    repeated rows count and are judged each; a null source is a host; an empty
+    table gives no rows.
+
     Documents are measured once and the measures staged. The host table may be
     of any size: it is joined by (host, salt), so that a host with a third of
     the rows is dealt over `salts` tasks.
     """
-    measured = staged(measure(docs, host), "host-rules")
+    measured = with_rules(staged(measure(docs, host), "host-rules"))
     salted = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    rates = host_rates(measured).select(F.col("host").alias("h"), "shrunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("s"))
+    rates = None
+    for rule in RULES:
+        own = host_rates(measured, rule).select(F.col("host").alias("h"), F.col("shrunk").alias(rule + "_rate"), (F.col("shrunk") > F.col("pooled")).alias(rule + "_high"))
+        own = own.withColumnRenamed("h", "g") if rates is not None else own
+        rates = own if rates is None else rates.join(own, F.col("h").eqNullSafe(F.col("g"))).drop("g")
+    rates = rates.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("s"))
     joined = salted.join(rates, F.col("host").eqNullSafe(F.col("h")) & (F.col("salt") == F.col("s")), "left")
-    return joined.select("doc_id", *COUNTS, "base_failed", F.col("shrunk").alias("host_rate"), (~F.col("base_failed") & (F.col("shrunk") <= limit)).alias("kept"))
+    out = F.greatest(*[F.col(r + "_rate") for r in RULES]) > limit
+    doubtful = ((F.col("rule_symbols") == 1) & F.col("rule_symbols_high")) | ((F.col("rule_lines") == 1) & F.col("rule_lines_high"))
+    return joined.select("doc_id", *COUNTS, "base_failed", F.col("rule_base_rate").alias("host_rate"), (~F.col("base_failed") & ~out & ~doubtful).alias("kept"))
 
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,10 +157,11 @@ l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT
 m AS (SELECT d.doc_id, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)),
-b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM b GROUP BY source),
-t AS (SELECT count(*) AS hosts, sum(n) AS n, sum(f) AS f, sum(n * n) AS nn, sum(f * f / n) AS ff, (sum(f) + 0.5) / (sum(n) + 1) AS mu FROM h),
-q AS (SELECT mu, 1 / least(greatest(CASE WHEN n - nn / n - (hosts - 1) > 0 THEN (ff - 2 * mu * f + mu * mu * n - mu * (1 - mu) * (hosts - 1)) / (mu * (1 - mu) * (n - nn / n - (hosts - 1))) ELSE 0 END, 0.0001), 0.999) - 1 AS s FROM t)
-SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (h.f + mu * s) / (h.n + s) <= 0.5 AS kept
-FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source, q
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_words > 0 AND 100 * n_symbols > 10 * word_chars AS sym, n_dup_lines >= 2 AND 100 * n_dup_lines > 2 * greatest(n_words, 1) AS dup FROM m),
+h AS (SELECT source, r, count(*)::DOUBLE AS n, sum(CASE r WHEN 0 THEN base_failed WHEN 1 THEN sym ELSE dup END::INT)::DOUBLE AS f FROM b, range(0, 3) t(r) GROUP BY source, r),
+t AS (SELECT r, count(*) AS hosts, sum(n) AS n, sum(f) AS f, sum(n * n) AS nn, sum(f * f / n) AS ff, (sum(f) + 0.5) / (sum(n) + 1) AS mu FROM h GROUP BY r),
+q AS (SELECT r, mu, 1 / least(greatest(CASE WHEN n - nn / n - (hosts - 1) > 0 THEN (ff - 2 * mu * f + mu * mu * n - mu * (1 - mu) * (hosts - 1)) / (mu * (1 - mu) * (n - nn / n - (hosts - 1))) ELSE 0 END, 0.0001), 0.999) - 1 AS s FROM t),
+v AS (SELECT source, max((f + mu * s) / (n + s)) > 0.5 AS out, max(CASE WHEN r = 1 THEN (f + mu * s) / (n + s) > mu END) AS sym_high, max(CASE WHEN r = 2 THEN (f + mu * s) / (n + s) > mu END) AS dup_high FROM h JOIN q USING (r) GROUP BY source)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT out AND NOT (sym AND sym_high) AND NOT (dup AND dup_high) AS kept
+FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
