@@ -1,15 +1,17 @@
 """Toxicity: a counterfactually regularised linear classifier over words.
 
 Features are the words of a text and their beginnings, present or not. Those
-tied to toxic labels are chosen by a log-odds test over all sampled rows. In
-each sampled text with identity terms, the terms are also swapped for others of
-their group; the fit adds a penalty on the squared change of the score, so that
-which group is mentioned doesn't move it.
+tied to toxic labels are chosen by a log-odds test over all sampled rows, and
+the identity terms are features in any case. In each sampled text with identity
+terms, these are swapped for others of their group; into each text without, two
+terms of one group are inserted in turn. The fit adds a penalty on the squared
+change of the score, so that which group is mentioned doesn't move it.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +27,17 @@ VOCABULARY, LEAST_Z, LEAST_ROWS, RIDGE, COUNTERFACTUAL = 4096, 3.0, 3, 0.02, 4.0
 REJECT = 0.5
 SHORTEST, LONGEST = 3, 8
 
-#: Identity terms by group (own choice, a parameter of the operator).
+#: Identity terms by group (own choice, a parameter of the operator), in the
+#: corpus' languages; no term is in two groups.
 IDENTITY_GROUPS = (
+    ("he", "she", "they"),
+    ("his", "her", "their"),
+    ("il", "elle"),
+    ("ils", "elles"),
+    ("er", "sie"),
+    ("sein", "ihr"),
+    ("él", "ella"),
+    ("ellos", "ellas"),
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
@@ -66,15 +77,17 @@ class Linear:
         return tuple((f, self.weight[f]) for w in _WORD.findall(token) for f in word_features(w) if f in self.weight)
 
 
-def fit(rows: list[tuple[list[int], list[int], int]], size: int, ridge: float = RIDGE, penalty: float = COUNTERFACTUAL, steps: int = 400) -> tuple[float, np.ndarray]:
+def fit(rows: list[tuple[list[int], list[int], int]], size: int, ridge: float = RIDGE, penalty: float = COUNTERFACTUAL, steps: int = 400, inserted: list[tuple[int, int]] = ()) -> tuple[float, np.ndarray]:
     """Bias and weights from (features, features after the swap, label) by
-    full-batch Adam on log loss + ridge + penalty x mean squared score change."""
+    full-batch Adam on log loss + ridge + penalty x mean squared score change.
+    inserted: the two features that an inserted term has before and after."""
     y = np.array([r[2] for r in rows], float)
     if not len(y):
         return -7.0, np.zeros(size)
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     col = np.array([f for r in rows for f in r[0]], "int64")
     pairs = [(set(a) - set(b), set(b) - set(a)) for a, b, _ in rows if set(a) != set(b)]
+    pairs += [({a}, {b}) for a, b in inserted if a != b]
     swap_row = np.array([i for i, (a, b) in enumerate(pairs) for _ in (*a, *b)], "int64")
     swap_col = np.array([f for a, b in pairs for f in (*a, *b)], "int64")
     swap_sign = np.array([s for a, b in pairs for s in (*[1.0] * len(a), *[-1.0] * len(b))])
@@ -99,6 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, groups=IDENT
     """Fit on a bounded sample outside the held-out fold. The feature counts are
     taken in tasks; at most `rows` lists of chosen features reach the driver."""
     swap = swaps(groups)
+    terms = sorted(swap)
     fitted = staged(sample(docs, labels, "toxic", 5, 0, rows), "toxicity-sample")
 
     def found(batches):
@@ -118,11 +132,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, groups=IDENT
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     z = (F.log(a / (total.bad + 1.0)) - F.log(b / (total.n - total.bad + 1.0))) / F.sqrt(1 / a + 1 / b)
     chosen = [r.f for r in counts.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(VOCABULARY).collect()]
+    chosen += [t for g in groups for t in g if t not in set(chosen)]
     index = {f: i for i, f in enumerate(chosen)}
 
     def known(batches):
         for b in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for text, label in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = words_of(text)
                 own = sorted(index[f] for f in features(words) if f in index)
@@ -130,12 +145,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, groups=IDENT
                 out[0].append(own)
                 out[1].append(own if other == words else sorted(index[f] for f in features(other) if f in index))
                 out[2].append(label)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.int32())], names=["x", "swapped", "y"])
+                term = terms[zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(terms)] if terms and other == words else None
+                out[3].append([] if term is None else [index[term], index[swap[term]]])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.list_(pa.int32())) for c in out[:2]), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int32()))], names=["x", "swapped", "y", "inserted"])
 
-    data = map_arrow(fitted, known, "x array<int>, swapped array<int>, y int").toArrow()
+    data = map_arrow(fitted, known, "x array<int>, swapped array<int>, y int, inserted array<int>").toArrow()
     drop_staged(fitted)
     rows_ = sorted(zip(data["x"].to_pylist(), data["swapped"].to_pylist(), data["y"].to_pylist(), strict=True))
-    bias, weight = fit(rows_, len(chosen), penalty=penalty)
+    bias, weight = fit(rows_, len(chosen), penalty=penalty, inserted=sorted(tuple(x) for x in data["inserted"].to_pylist() if x))
     return Linear(bias, {f: float(w) for f, w in zip(chosen, weight, strict=True) if w})
 
 
@@ -165,8 +182,12 @@ def score(docs: DataFrame, model: Linear, name: str = "score") -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row of docs. Texts without
-    words get the score of the bias alone; without labels nothing is toxic."""
+    """doc_id, held_out, score and predicted of each row of docs.
+
+    Null texts count as empty; texts without words get the score of the bias
+    alone; a score of just REJECT is toxic; equal texts have equal scores, and
+    repeated rows a row each. A null id is in the fold of the empty text.
+    Without labels nothing is toxic; an empty table gives no rows."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels, rows))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
 
