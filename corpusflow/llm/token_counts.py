@@ -4,18 +4,21 @@ A leaf holds some words of the text with the white space behind them; inner
 nodes hold the characters and tokens below. No pre-token crosses white space,
 so that an edit changes the counts of the leaves it touches alone, and of the
 next one where the edit removes the space between them: these are encoded
-anew, and the sums on the path to the root are updated.
+anew, and the sums on the path to the root are updated. Trees are kept in a
+table as the counts of their leaves and are updated from there; leaves that
+grow long are cut again.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read_table
+from .common import map_arrow, read_table, staged
 from .word_bpe import WordBpe, opened, vocabulary_path
 
 #: Characters that a leaf has at least, but for the last.
@@ -27,19 +30,33 @@ _CUT = re.compile(rf"(?s).{{{LEAF - 1}}}[^{SPACES}]*[{SPACES}]+|.+")
 class SegmentTree:
     """Sums over leaves in a heap: node i has the children 2i and 2i + 1."""
 
-    def __init__(self, text: str, bpe: WordBpe):
+    def __init__(self, text: str, bpe: WordBpe, counts: list[tuple[int, int]] | None = None):
+        """counts: characters and tokens of each leaf of a tree that was kept;
+        without them the text is cut and encoded."""
         self.bpe = bpe
-        self.leaves = _CUT.findall(text) or [""]
-        self.size = 1 << (len(self.leaves) - 1).bit_length()
-        self.leaves += [""] * (self.size - len(self.leaves))
         self.recounted = 0
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[self.size + i] = len(leaf)
-            self.tokens[self.size + i] = self._count(leaf)
+        if counts is None:
+            leaves = _CUT.findall(text) or [""]
+            tokens = [self._count(x) for x in leaves]
+        else:
+            ends = list(accumulate(n for n, _ in counts))
+            leaves = [text[e - n : e] for e, (n, _) in zip(ends, counts, strict=True)]
+            tokens = [t for _, t in counts]
+        self._build(leaves, tokens)
+        self.recounted = 0
+
+    def _build(self, leaves: list[str], tokens: list[int]) -> None:
+        self.size = 1 << (len(leaves) - 1).bit_length()
+        more = self.size - len(leaves)
+        self.leaves = leaves + [""] * more
+        self.chars = [0] * self.size + [len(x) for x in self.leaves]
+        self.tokens = [0] * self.size + tokens + [0] * more
         for i in range(self.size - 1, 0, -1):
             self._sum(i)
-        self.recounted = 0
+
+    def counts(self) -> list[tuple[int, int]]:
+        """Characters and tokens of the leaves that aren't empty."""
+        return [(n, t) for n, t in zip(self.chars[self.size :], self.tokens[self.size :], strict=True) if n] or [(0, 0)]
 
     def _sum(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -73,11 +90,19 @@ class SegmentTree:
         while first > 0 and not self.leaves[first - 1].endswith(tuple(SPACES)):
             first -= 1
             joined = self.leaves[first] + joined
+        # What has grown long is cut again, so that leaves stay short.
+        pieces = _CUT.findall(joined) if len(joined) > 4 * LEAF else [joined]
+        tokens = [self._count(x) for x in pieces]
+        room = last + 1 - first
+        if len(pieces) > room:  # no leaf is free here: new sums, no new encoding
+            old = self.tokens[self.size :]
+            self._build([*self.leaves[:first], *pieces, *self.leaves[last + 1 :]], [*old[:first], *tokens, *old[last + 1 :]])
+            return
         touched = set()
-        for i in range(first, last + 1):
-            self.leaves[i] = joined if i == first else ""
+        for k, i in enumerate(range(first, last + 1)):
+            self.leaves[i] = pieces[k] if k < len(pieces) else ""
             self.chars[self.size + i] = len(self.leaves[i])
-            self.tokens[self.size + i] = self._count(joined) if i == first else 0
+            self.tokens[self.size + i] = tokens[k] if k < len(pieces) else 0
             touched.add((self.size + i) // 2)
         while touched:
             for i in touched:
@@ -90,30 +115,58 @@ class SegmentTree:
         return "".join(self.leaves)
 
 
-def recount(docs: DataFrame, edits: str, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, edited_tokens, edited_chars, recounted_chars.
+TREE = "doc_id long, text string, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>"
+
+
+def _row(tree: SegmentTree) -> tuple:
+    counts = tree.counts()
+    return tree.text, tree.tokens[1], [n for n, _ in counts], [t for _, t in counts]
+
+
+def build_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """TREE of each row of docs: the tree as the counts of its leaves, to be kept
+    beside the text. Null text is empty. No shuffle."""
+    path = path or vocabulary_path()
+
+    def run(batches):
+        bpe = opened(path)
+        for b in batches:
+            rows = [_row(SegmentTree(t or "", bpe)) for t in b.column(1).to_pylist()]
+            yield _tree_batch(b.column(0), rows)
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, TREE)
+
+
+def _tree_batch(ids, rows: list[tuple], *more: pa.Array, names: tuple = ()) -> pa.RecordBatch:
+    text, n, chars, tokens = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [])
+    arrays = [ids, pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays([*arrays, *more], names=[*(x.split()[0] for x in TREE.split(", ")), *names])
+
+
+def update_trees(trees: DataFrame, edits: str, path: str | None = None) -> DataFrame:
+    """trees after their edits: TREE, and tokens_before and recounted_chars, the
+    characters that were encoded anew. Nothing else is encoded.
 
     edits names a column array<struct<start int, stop int, text string>> of
     replacements by code points, made in order, each on the text as it then
-    is. Null text is empty, null edits are none; an end before its start is
-    taken as the start, places beyond the end as the end.
+    is. Null edits are none; an end before its start is taken as the start,
+    places beyond the end as the end. Repeated rows are edited each.
     """
     path = path or vocabulary_path()
 
     def run(batches):
         bpe = opened(path)
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for text, changes in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                tree = SegmentTree(text or "", bpe)
-                before = tree.tokens[1]
+            rows, before, recounted = [], b.column(2), []
+            for text, chars, tokens, changes in zip(*(b.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True):
+                tree = SegmentTree(text or "", bpe, list(zip(chars, tokens, strict=True)))
                 for e in changes or ():
                     tree.edit(e["start"], e["stop"], e["text"] or "")
-                for c, v in zip(out, (before, tree.tokens[1], tree.chars[1], tree.recounted), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in out)], names=["doc_id", "n_tokens", "edited_tokens", "edited_chars", "recounted_chars"])
+                rows.append(_row(tree))
+                recounted.append(tree.recounted)
+            yield _tree_batch(b.column(0), rows, before, pa.array(recounted, pa.int64()), names=("tokens_before", "recounted_chars"))
 
-    return map_arrow(docs.select("doc_id", "text", edits), run, "doc_id long, n_tokens long, edited_tokens long, edited_chars long, recounted_chars long")
+    return map_arrow(trees.select("doc_id", "text", "n_tokens", "leaf_chars", "leaf_tokens", edits), run, f"{TREE}, tokens_before long, recounted_chars long")
 
 
 def sample_edits(text: Column) -> Column:
@@ -128,6 +181,12 @@ def sample_edits(text: Column) -> Column:
     )
 
 
+def counted(updated: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, edited_tokens, edited_chars, recounted_chars of updated trees."""
+    return updated.select("doc_id", F.col("tokens_before").alias("n_tokens"), F.col("n_tokens").alias("edited_tokens"), F.length("text").cast("long").alias("edited_chars"), "recounted_chars")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return recount(docs.withColumn("edits", sample_edits(F.col("text"))), "edits")
+    """The trees of all documents, kept in a table, then edited from there."""
+    trees = staged(build_trees(read_table(spark, sf_dir, "documents")), "token-trees")
+    return counted(update_trees(trees.withColumn("edits", sample_edits(F.col("text"))), "edits"))

@@ -260,8 +260,22 @@ def test_token_counts_follow_edits(spark):
             tree.edit(i, j, new)
             text = text[:i] + new + text[j:]
             assert tree.text == text and tree.tokens[1] == len(b.encode(text)) and tree.chars[1] == len(text)
-    docs = table(spark, ODD).withColumn("edits", token_counts.sample_edits(F.coalesce("text", F.lit(""))))
-    assert token_counts.recount(docs, "edits").count() == len(ODD)
+    trees = token_counts.build_trees(table(spark, ODD + ["word " * 3000]))
+    updated = token_counts.update_trees(trees.withColumn("edits", token_counts.sample_edits(F.col("text"))), "edits")
+    rows = {r.doc_id: r for r in token_counts.counted(updated).collect()}
+    for i, t in enumerate([x or "" for x in ODD] + ["word " * 3000]):
+        mid, cut = len(t) // 2, min(len(t) // 4, 40)
+        new = t[:mid] + t[:20] + t[mid + cut :]
+        new = new[:2] + new[3:]
+        assert (rows[i].n_tokens, rows[i].edited_tokens, rows[i].edited_chars) == (len(b.encode(t)), len(b.encode(new)), len(new))
+    assert rows[len(ODD)].recounted_chars < 2000
+    again = token_counts.update_trees(updated.drop("tokens_before", "recounted_chars").withColumn("edits", F.lit(None).cast("array<struct<start:int,stop:int,text:string>>")), "edits")
+    assert {r.doc_id: r.n_tokens for r in again.collect()} == {i: rows[i].edited_tokens for i in rows} and {r.recounted_chars for r in again.collect()} == {0}
+    assert token_counts.build_trees(table(spark, [])).count() == 0
+    tree = token_counts.SegmentTree("a b " * 500, b)
+    for _ in range(600):
+        tree.edit(1000, 1000, " xyz ")
+    assert tree.tokens[1] == len(b.encode(tree.text)) and max(map(len, tree.leaves)) <= 5 * token_counts.LEAF
 
 
 def test_quality_trees_learn(spark):
