@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
 A text's tokens are its runs of characters outside space and U+0009..U+000D,
-where a character of a script written without spaces is a token by itself. The
-hash of each K tokens is rolled along the text; of every WINDOW successive
-hashes the least is kept, the rightmost of equal ones, with its position. Two
+where a character of a script written without spaces is a token by itself. Each
+token is hashed once, and each K successive token hashes once more, window by
+window along the text (SQL arrays have no running state to take a token out
+of); of every WINDOW successive hashes the least is kept, the rightmost of equal
+ones, with its position. Two
 texts that share K + WINDOW - 1 tokens in a row share a fingerprint.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.prefix import range_of
 from .common import read_table
 
 K, WINDOW = 5, 16
@@ -31,8 +34,8 @@ def fingerprint(text: str, k: int = K, window: int = WINDOW) -> Column:
     tokens has none; a text of fewer than `window` k-grams keeps one."""
     rolled = ", ".join(f"get(t, i + {j})" for j in range(k))
     grams = f"transform(sequence(0, greatest(size(t) - {k}, 0)), i -> xxhash64({rolled}))"
-    # Order by the upper bits; below them, the later position is the lesser.
-    order = "transform(g, (h, i) -> (h & -1073741824L) | CAST(1073741823 - (i & 1073741823) AS BIGINT))"
+    # Of equal hashes the later position is the lesser.
+    order = "transform(g, (h, i) -> named_struct('h', h, 'o', -i))"
     steps, width = [], 1
     while width < window:  # minima over 2, 4, 8 ... hashes, then over the window
         step = min(width, window - width)
@@ -42,7 +45,7 @@ def fingerprint(text: str, k: int = K, window: int = WINDOW) -> Column:
     for s in reversed(steps):
         body = _let(s, "m", body)
     kept = _let(order, "m", body)
-    named = f"transform({kept}, o -> named_struct('h', g[1073741823 - CAST(o & 1073741823 AS INT)], 'at', 1073741823 - CAST(o & 1073741823 AS INT)))"
+    named = f"transform({kept}, x -> named_struct('h', x.h, 'at', -x.o))"
     hashes = f"transform(regexp_extract_all({text}, '{TOKEN}', 0), w -> xxhash64(w))"
     return F.expr(_let(hashes, "t", f"IF(size(t) = 0, array(), {_let(grams, 'g', named)})"))
 
@@ -75,13 +78,14 @@ def with_next(docs: DataFrame, order: str, columns: list[str]) -> DataFrame:
     else:
         cuts = (cuts or [])[:: max(1, -(-256 // buckets))]
     cuts = sorted(set(cuts or []))
-    bounds = F.array(*map(F.lit, cuts)).cast("array<long>") if cuts else F.expr("CAST(array() AS array<bigint>)")
-    bucket = F.size(F.filter(bounds, lambda c: c < key))
+    bucket = range_of(key, cuts)
     keyed = docs.withColumns({"_key": key, "_bucket": bucket})
     firsts = sorted((r.b, r.k) for r in keyed.groupBy(F.col("_bucket").alias("b")).agg(F.min("_key").alias("k")).collect())  # a row per bucket
-    sends = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
-    target = F.create_map(*[F.lit(x).cast(t) for k, b in sends for x, t in ((k, "long"), (b, "int"))]) if sends else F.expr("map(CAST(0 AS BIGINT), 0)")
-    to = target[F.col("_key")] if sends else F.lit(None).cast("int")
+    least, earlier = [None] * (len(cuts) + 1), [None] * (len(cuts) + 1)
+    for i, (b, k) in enumerate(firsts):
+        least[b], earlier[b] = k, firsts[i - 1][0]  # the first bucket's go to the last
+    at = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("_bucket"))
+    to = F.when(at(least, "long") == F.col("_key"), at(earlier, "int"))
     copies = F.array_compact(F.array(F.struct(F.col("_bucket").alias("at"), F.lit(0).alias("guest")), F.when(to.isNotNull(), F.struct(to.alias("at"), F.lit(1).alias("guest")))))
     sent = keyed.select(*docs.columns, "_key", F.explode(copies).alias("_to"))
     w = Window.partitionBy("_to.at").orderBy("_to.guest", "_key")
