@@ -178,7 +178,10 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
     """doc_id, held_out, score and predicted of each row of docs.
 
     Null and empty texts are scored like any text, from statistics that are 0.
-    Without labels every score is 0.999: nothing is rejected unlearned.
+    A score of just ACCEPT is accepted; equal texts have equal scores, and
+    repeated rows a row each. A null id is in the fold of the empty text.
+    Without labels every score is 0.999: nothing is rejected unlearned. An
+    empty table gives no rows.
     """
     scored = score(docs.select("doc_id", "text"), train(docs, labels, rows))
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
