@@ -33,9 +33,10 @@ def fingerprint(text: str, k: int = K, window: int = WINDOW) -> Column:
     that isn't null. A text of fewer than k tokens is one k-gram, one without
     tokens has none; a text of fewer than `window` k-grams keeps one."""
     rolled = ", ".join(f"get(t, i + {j})" for j in range(k))
-    grams = f"transform(sequence(0, greatest(size(t) - {k}, 0)), i -> xxhash64({rolled}))"
-    # Of equal hashes the later position is the lesser.
-    order = "transform(g, (h, i) -> named_struct('h', h, 'o', -i))"
+    # Hashes of 34 bits above a position of 30 (a string can't hold more tokens):
+    # one number orders both, and of equal hashes the later position is the lesser.
+    grams = f"transform(sequence(0, greatest(size(t) - {k}, 0)), i -> shiftright(xxhash64({rolled}), 30))"
+    order = "transform(g, (h, i) -> shiftleft(h, 30) | CAST(1073741823 - i AS BIGINT))"
     steps, width = [], 1
     while width < window:  # minima over 2, 4, 8 ... hashes, then over the window
         step = min(width, window - width)
@@ -45,14 +46,14 @@ def fingerprint(text: str, k: int = K, window: int = WINDOW) -> Column:
     for s in reversed(steps):
         body = _let(s, "m", body)
     kept = _let(order, "m", body)
-    named = f"transform({kept}, x -> named_struct('h', x.h, 'at', -x.o))"
+    named = f"transform({kept}, o -> named_struct('h', shiftright(o, 30), 'at', 1073741823 - CAST(o & 1073741823 AS INT)))"
     hashes = f"transform(regexp_extract_all({text}, '{TOKEN}', 0), w -> xxhash64(w))"
     return F.expr(_let(hashes, "t", f"IF(size(t) = 0, array(), {_let(grams, 'g', named)})"))
 
 
 def written(marks: Column) -> Column:
     """Fingerprints as text: hexadecimal hash and position of each."""
-    return F.array_join(F.transform(marks, lambda m: F.concat_ws(":", F.lower(F.hex(m.h)), m.at.cast("string"))), " ")
+    return F.array_join(F.transform(marks, lambda m: F.concat_ws(":", F.lower(F.hex(m.h.bitwiseAND((1 << 34) - 1))), m.at.cast("string"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
