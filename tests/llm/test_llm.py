@@ -226,6 +226,28 @@ def test_fingerprints(spark):
     assert winnowing.fingerprints(table(spark, [])).count() == 0
 
 
+def test_fingerprints_against_plain_winnowing(spark):
+    rng = random.Random(11)
+    texts = [words(rng, n, v) for n, v in ((3, 9), (5, 9), (20, 3), (60, 2), (150, 40), (21, 400))] + ["", "日本 語 x y", "a " * 40, None]
+    own = "([\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}]|[^\\x20\\x09-\\x0D\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}]+)"
+    docs = table(spark, texts)
+    tokens = docs.select("doc_id", F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(own), F.lit(1)), lambda w: F.xxhash64(w)).alias("t"))
+    grams = tokens.select("doc_id", "t", F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get("t", i + j) for j in range(5)])).alias("g"))
+    plain = {}
+    for r in grams.collect():
+        h = [x >> 30 for x in r.g] if r.t else []
+        w = min(winnowing.WINDOW, len(h))
+        picked = {max((i for i in range(a, a + w)), key=lambda i: (-h[i], i)) for a in range(len(h) - w + 1)} if h else set()
+        plain[r.doc_id] = [(h[i], i) for i in sorted(picked)]
+    rows = {r.doc_id: r for r in winnowing.fingerprints(docs).collect()}
+    shown = lambda x: " ".join(f"{h & ((1 << 34) - 1):x}:{i}" for h, i in x)
+    for i in plain:
+        a, b = {h for h, _ in plain[i]}, {h for h, _ in plain[(i + 1) % len(texts)]}
+        assert rows[i].fingerprint == shown(plain[i]) and rows[i].near_next == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+    again = winnowing.fingerprints(docs.union(docs).withColumn("own", F.lit(1))).collect()
+    assert len(again) == 2 * len(texts) and {r.fingerprint for r in again if r.doc_id == 4} == {rows[4].fingerprint}
+
+
 def test_winnowing_guarantee_and_rightmost_ties(spark):
     t = words(random.Random(6), 200)
     body = F.lit(t)
@@ -308,3 +330,141 @@ def test_ctw_sums_to_one_and_learns(spark):
     model = ctw.Ctw(*every, 2)
     context = np.arange(256) | (2 << 56) | (ord("h") << 8) | (ord("t") << 16)
     assert (10 ** model.log10(context)).sum() == pytest.approx(1)
+
+
+def test_quality_statistics_and_trees_against_plain_versions(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, len(quality.FEATURES)))
+    model = quality.fit(x, (x[:, 2] + x[:, 5] > 0).astype(float), trees=7)
+
+    def walk(row):
+        total = model.base
+        for f, t, v in zip(model.feature, model.threshold, model.value):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            total += v[node - len(f)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(model.score(x), [walk(r) for r in x])
+    s = dict(zip(quality.FEATURES, quality.statistics("Ab 1!\n\nb b#")))
+    assert s["upper"] == pytest.approx(1 / 11) and s["digit"] == pytest.approx(1 / 11) and s["symbol"] == pytest.approx(1 / 11) and s["distinct_words"] == 1.0 and s["line_words"] == 2.0
+    docs = table(spark, ["good words of a text here " * 5, "### $$$ %%% &&& " * 9] * 40)
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    for r in quality.classify(docs.union(docs), labels).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.7) == 1 - r.doc_id % 2
+    assert quality.classify(table(spark, []), labels).count() == 0
+
+
+def test_toxicity_moves_less_between_swapped_texts(spark):
+    texts, toxic = [], []
+    rng = random.Random(4)
+    for i in range(400):
+        bad = i % 4 == 0
+        who = "she" if rng.random() < (0.9 if bad else 0.2) else "he"
+        texts.append(f"{who} said {words(rng, 8, 60)} {'idiotic rubbish' if bad and rng.random() < 0.7 else ''}")
+        toxic.append(int(bad))
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    pair = table(spark, ["she said w1 w2", "he said w1 w2", "they said w1 w2"])
+    moved = {}
+    for penalty in (0.0, toxicity.COUNTERFACTUAL):
+        a, b, c = (r.score for r in toxicity.score(pair, toxicity.train(docs, labels, penalty=penalty)).orderBy("doc_id").collect())
+        moved[penalty] = max(abs(a - b), abs(a - c))
+    assert moved[toxicity.COUNTERFACTUAL] < 0.5 * moved[0.0]
+    for r in toxicity.classify(docs, labels).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1
+    assert toxicity.classify(table(spark, []), labels).count() == 0
+
+
+def test_packing_against_the_library(spark):
+    texts = [*ODD, "w " * 9000, "One, two."]
+    b = WordBpe(vocabulary_path())
+    got = defaultdict(list)
+    for r in packing.pack(table(spark, texts)).collect():
+        got[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    for i, t in enumerate(texts):
+        ids = [*b.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        want = [(k, a, len(ids[a : a + 4096]), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
+        assert sorted(got[i]) == want
+
+
+def test_bpe_hashes_against_the_library(spark):
+    texts = [*ODD, "https://example.org/a_very_long_unbroken_path/" * 3, "donaudampfschifffahrtsgesellschaft" * 5]
+    tokenizer = WordBpe(vocabulary_path()).tokenizer
+    for r in bpe.round_trip(table(spark, texts)).collect():
+        ids = tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
+def test_ctw_counts_and_mixture_against_plain_versions(spark):
+    docs = [words(random.Random(i), 30, 12) for i in range(40)] + [None, ""]
+    counts, train = defaultdict(int), [i for i in range(len(docs)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    for i in train:
+        for w in [*(docs[i] or "").split(), ""]:
+            counts[w] += 1
+    n, v = sum(counts.values()), len(counts)
+    for r in ctw.score(table(spark, docs)).collect():
+        tokens = [*(docs[r.doc_id] or "").split(), ""]
+        assert (r.n_tokens, r.train_tokens, r.n_known) == (len(tokens), n, sum(counts[t] > 0 for t in tokens))
+        assert r.base_score == pytest.approx(sum(np.log10((counts[t] + 1) / (n + v + 1)) for t in tokens)) and r.score < 0
+    assert ctw.score(table(spark, [])).count() == 0
+    # One decision, depth 1: the mixture by its definition.
+    text = b"abababac"
+    keys, k = np.unique([c | d << 56 | (p << 8 if d else 0) for p, c in zip(text, text[1:]) for d in (0, 1)], return_counts=True)
+    model = ctw.Ctw(np.array(keys, "int64"), k, 1)
+    kt = lambda a, b: float(np.exp(ctw._log_kt(np.array([float(a)]), np.array([float(b)]))[0]))
+    half = lambda a, b: (b + 0.5) / (a + b + 1)
+    pairs, p = list(zip(text, text[1:])), 1.0
+    for j in range(8):  # P(b | a)
+        seen = [(x, c >> (7 - j) & 1) for x, c in pairs if j == 0 or c >> (8 - j) == ord("b") >> (8 - j)]
+        by = {x: [sum(1 for y, bit in seen if y == x and bit == v) for v in (0, 1)] for x in {x for x, _ in seen}}
+        root = [sum(t[v] for t in by.values()) for v in (0, 1)]
+        below = np.prod([kt(*t) for t in by.values()])
+        w = kt(*root) / below
+        one = (w * half(*root) + (half(*by[ord("a")]) if ord("a") in by else 0.5)) / (w + 1)
+        p *= one if ord("b") >> (7 - j) & 1 else 1 - one
+    assert 10 ** model.log10(np.array([ord("b") | ord("a") << 8 | 1 << 56]))[0] == pytest.approx(p, rel=1e-4)
+
+
+def test_hosts_decide_on_doubtful_documents(spark):
+    rng = random.Random(9)
+    doubtful = " ".join(f"w{i}###" for i in range(30))
+    rows = [(i, doubtful if i < 40 else words(rng, 40), "en", "shady", 0) for i in range(100)] + [(100 + i, doubtful if i < 2 else words(rng, 40), "en", "fine", 0) for i in range(100)]
+    got = {r.doc_id: r for r in host_rules.judge(spark.createDataFrame(rows, DOCS), F.col("source")).collect()}
+    assert not got[0].base_failed and not got[0].kept and got[100].kept and got[99].kept
+
+
+def test_lines_keep_clashing_columns_and_repeated_rows(spark):
+    line = "one two three four five six seven eight"
+    docs = table(spark, [f"{line}\nown", f"{line}\nmore", None]).withColumns({"_gone": F.lit(1), "own": F.lit("x"), "gone": F.lit(2), "_d": F.lit(3), "n_lines": F.lit(9)})
+    got = {r.doc_id: r for r in lines.dedup_lines(docs.union(docs)).collect()}
+    assert (got[1].text, got[1]._gone, got[1].own, got[1].n_lines, got[1].n_dropped) == ("more", 1, "x", 2, 1)
+    assert got[0].text == f"{line}\nown" and got[2].text is None
+    long = table(spark, ["\n".join(f"line number {i % 3000} of words that are many" for i in range(6000))])
+    assert lines.dedup_lines(long).first().n_dropped >= 3000
+
+
+def test_pipeline_stages(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns({"score": F.lit(7), "n_lines": F.lit(8)})
+    plain = {r.doc_id: r for r in docs.collect()}
+    sf = "/root/testdata/sf0.001"
+    model = quality.train(docs, pipeline.read_labels(spark, sf))
+    for name, stage in pipeline.STAGES[:-1]:
+        before = {r.doc_id for r in docs.collect()}
+        docs_ = pipeline.staged(stage(spark, docs, sf), "test")
+        assert docs_.columns == docs.columns and {(r.score, r.n_lines) for r in docs_.collect()} == {(7, 8)}
+        after = {r.doc_id: r for r in docs_.collect()}
+        assert set(after) <= before and len(after) > 0
+        if name == "quality_classifier":
+            assert set(after) == {i for i, r in plain.items() if model.score(quality.statistics(r.text)[None].astype("float64"))[0] >= quality.ACCEPT}
+        if name == "ngram_jaccard_join":
+            sets = {r.doc_id: set(jaccard.shingles(r.text).tolist()) for r in docs.collect()}
+            near = lambda a, b: sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+            assert not any(near(a, b) for a in after for b in after if a < b)
+            assert all(any(near(a, b) for b in sets if b != a) for a in set(sets) - set(after))
+        docs = docs_
+        assert stage(spark, docs.where("false"), sf).count() == 0
+    packed = pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
