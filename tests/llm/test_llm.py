@@ -427,6 +427,25 @@ def test_ctw_counts_and_mixture_against_plain_versions(spark):
     assert 10 ** model.log10(np.array([ord("b") | ord("a") << 8 | 1 << 56]))[0] == pytest.approx(p, rel=1e-4)
 
 
+def test_ctw_split_into_groups_equals_one_tree(spark):
+    docs = [words(random.Random(i), 40, 25) + "\n" + words(random.Random(i % 7), 6, 25) for i in range(50)] + [None, "", "\n x \n"]
+    learnt = [i for i in range(len(docs)) if zlib.crc32(str(i).encode()) % 7 != 2]
+
+    def spelling(text):
+        for line in ctw.lines_of(text):
+            k, sizes = ctw.gram_keys(line)
+            k[-1] ^= ctw.START ^ ctw.LINE  # the last word of a line ends in a line feed
+            yield k
+
+    longest = np.concatenate([k for i in learnt for k in spelling(docs[i])])
+    every = [((longest & ctw._at(d)) | d << 56)[longest >> 56 >= d] for d in range(ctw.DEPTH + 1)]
+    every += [np.repeat(np.array([ctw.END_KEY, ctw.END]), len(learnt))]
+    whole = ctw.Ctw(*np.unique(np.concatenate(every), return_counts=True))
+    for r in ctw.score(table(spark, docs)).collect():
+        expected = sum(whole.log10(k).sum() for k in spelling(docs[r.doc_id])) + whole.log10(np.array([ctw.END_KEY]))[0]
+        assert r.tree_score == pytest.approx(expected, rel=1e-6), r
+
+
 def test_hosts_decide_on_doubtful_documents(spark):
     rng = random.Random(9)
     doubtful = " ".join(f"w{i}###" for i in range(30))
