@@ -17,8 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     the longest path. Loops (a = b) are left out.
     """
     current = staged(_oriented(edges.select("a", "b")), "edges")
-    mark = _mark(current)
-    while True:
+    while not _stars(current):
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = _oriented(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
@@ -26,13 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = middle.groupBy("a").agg(F.min("b").alias("m"))
         small = middle.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         following = staged(_oriented(small), "edges")
-        after = _mark(following)
         drop_staged(current)
         drop_staged(middle)
         current = following
-        if after == mark:
-            break
-        mark = after
     ends = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.union(ends.select("component", "component")).groupBy("node").agg(F.min("component").alias("component"))
 
@@ -41,6 +36,8 @@ def _oriented(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count("*"), F.sum(h.bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftright(h, 32))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node is either linked to one smaller node or the smallest."""
+    nodes = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+    counts = nodes.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("n"))
+    return counts.where("ups > 1 OR ups = 1 AND n > 1").agg(F.count("*")).first()[0] == 0
