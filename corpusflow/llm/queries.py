@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, ctw, host_rules, jaccard, lines, packing, quality, token_counts, toxicity, winnowing
+from . import bpe, ctw, host_rules, jaccard, lines, negatives, packing, quality, token_counts, toxicity, winnowing
 
 QUERIES = {
     "op1_document_fingerprints": winnowing.op1_document_fingerprints,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_bpe": bpe.op10_bpe,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_host_rules": host_rules.OP9_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
 }
