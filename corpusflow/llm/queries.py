@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, ctw, host_rules, jaccard, lines, negatives, packing, quality, token_counts, toxicity, winnowing
+from . import bpe, chat, ctw, host_rules, jaccard, lines, negatives, packing, quality, repair, token_counts, toxicity, winnowing
 
 QUERIES = {
     "op1_document_fingerprints": winnowing.op1_document_fingerprints,
@@ -16,8 +16,12 @@ QUERIES = {
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_bpe": bpe.op10_bpe,
     "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_chat_formatting": chat.op13_chat_formatting,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_host_rules": host_rules.OP9_SQL,
     "op11_hard_negatives": negatives.OP11_SQL,
+    "op12_conversation_repair": repair.OP12_SQL,
+    "op13_chat_formatting": chat.OP13_SQL,
 }
