@@ -45,18 +45,6 @@ def top(scores: DataFrame, n: int, key: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def dense_top(corpus: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """Exact cosine search: a stated set of queries, sent to all rows in blocks
-    of at most a few thousand (see queries.py), and the n best of each."""
-    scored = corpus.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"))
-    return top(scored, n, "vec_id")
-
-
 def fuse(rankings: list[DataFrame], key: str, constant: float = 60.0) -> DataFrame:
     """Reciprocal-rank fusion of rankings (query_id, key, rank)."""
     if constant <= 0:

@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import retrieval
+from . import lexicon, retrieval, vectors
 
 # The default retrieval configuration.
 CONFIG = {
@@ -116,60 +114,19 @@ def lexical_search(postings: dict[str, DataFrame], lengths: dict[str, DataFrame]
     return run
 
 
-def dense_search(corpus: DataFrame, key: str, block: int = 2000) -> Search:
-    """Exact cosine search of the queries' column `query`, sent to all rows in
-    blocks of at most `block`."""
+def dense_search(corpus: DataFrame, key: str) -> Search:
+    """Exact cosine search of the queries' column `query` over all rows."""
+    return lambda queries, n: vectors.exact_top(corpus, queries, key, n, decimals=6)
 
-    def run(queries: DataFrame, n: int) -> DataFrame:
-        vectors = corpus.select(F.col(key).alias("vec_id"), "embedding")
-        blocks = max(1, -(-queries.count() // block))
-        out = None
-        for i in range(blocks):
-            some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-            scored = vectors.join(F.broadcast(some.select("query_id", "query"))).select("query_id", F.col("vec_id").alias(key), F.round(retrieval.cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
-            found = retrieval.top(scored, n, key)
-            out = found if out is None else out.unionByName(found)
-        return out
-
-    return run
-
-
-def unit(c: Column) -> Column:
-    """A vector over its length."""
-    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    return F.transform(c, lambda v: v.cast("double") / F.greatest(norm, F.lit(1e-30)))
-
-
-class Lists:
-    """An inverted-file index: every vector is in the list of its nearest centre.
-
-    Centres come from k-means over a sample of at most `sample` vectors; all
-    vectors are assigned. A query probes the lists of its `probes` nearest
-    centres, so that it meets probes / lists of the rows instead of all.
-    """
-
-    def __init__(self, corpus: DataFrame, key: str, lists: int = 64, sample: int = 20_000, seed: int = 1):
-        self.key = key
-        self.rows = corpus.select(key, unit(F.col("embedding")).alias("u"))
-        some = self.rows.orderBy(F.xxhash64(key)).limit(sample).select(array_to_vector("u").alias("features"))
-        self.model: KMeansModel = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="features").fit(some)
-        self.centres = [[float(x) for x in c] for c in self.model.clusterCenters()]  # lists x dimensions
-
-    def assigned(self) -> DataFrame:
-        return self.model.transform(self.rows.withColumn("features", array_to_vector("u"))).select(self.key, "u", F.col("prediction").alias("list"))
 
-    def search(self, probes: int = 8) -> Search:
-        centres = F.array(*[F.array(*map(F.lit, c)) for c in self.centres])
-        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+def quantised_search(index: vectors.Quantised, candidates: int = 50, probes: int | None = None) -> Search:
+    """Search in a stored index, by the queries' column `query`."""
+    return lambda queries, n: index.search(queries, n, candidates, probes)
 
-        def run(queries: DataFrame, n: int) -> DataFrame:
-            asked = queries.select("query_id", unit(F.col("query")).alias("q"))
-            near = F.transform(centres, lambda c, i: F.struct((-dot(c, F.col("q"))).alias("d"), i.alias("list")))
-            probed = asked.withColumn("p", F.explode(F.slice(F.array_sort(near), 1, probes))).select("query_id", "q", F.col("p.list").alias("list"))
-            met = self.assigned().join(probed, "list").select("query_id", self.key, dot(F.col("u"), F.col("q")).alias("score"))
-            return retrieval.top(met, n, self.key)
 
-        return run
+def lexicon_search(index: lexicon.Lexicon, key: str) -> Search:
+    """Search in a stored lexical index, by the queries' column `text`."""
+    return lambda queries, n: index.search(queries, n, key)
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:

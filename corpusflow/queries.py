@@ -10,7 +10,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import corpus, dialogue, evaluation, preparation, quality, retrieval, schedules, web
+from .operators import corpus, dialogue, evaluation, preparation, quality, retrieval, schedules, vectors, web
+from .plans import stage
 from .registry import ORACLE_SQL, QUERIES, query, table
 from .streaming import corpus_stream, stateful
 
@@ -156,19 +157,7 @@ def _neighbours(spark, sf_dir, n=10):
     """A stated set of queries (ids divisible by 20) against all vectors."""
     v = table(spark, sf_dir, "embeddings")
     queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return v, _in_blocks(v, queries, n)
-
-
-def _in_blocks(v, queries, n, block=2000):
-    """A block of at most `block` queries is sent to all tasks at a time."""
-    count = queries.count()
-    parts = max(1, -(-count // block))
-    out = None
-    for i in range(parts):
-        some = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        found = retrieval.dense_top(v, some, n)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return v, vectors.exact_top(v, queries, "vec_id", n, itself=False)
 
 
 COSINE = "e AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), n AS (SELECT *, sqrt(list_inner_product(e, e)) AS l FROM e), c AS (SELECT q.vec_id AS query_id, x.vec_id, x.label, q.label AS own, list_inner_product(x.e, q.e) / (x.l * q.l) AS score FROM n q JOIN n x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c)"
@@ -344,12 +333,12 @@ def _stream(spark, sf_dir, name):
 
 @query(ORACLE_SQL[FLAGSHIP])
 def stream_rejection_counts(spark, sf_dir):
-    return stateful.written(spark, corpus_stream.rejection_counts(preparation.with_text(_stream(spark, sf_dir, "documents"))), "complete", stateful.scratch(spark))
+    return stateful.written(spark, corpus_stream.rejection_counts(preparation.with_text(_stream(spark, sf_dir, "documents"))), "complete", stage.scratch(spark))
 
 
 @query(f"SELECT count(DISTINCT {HASH}) AS n FROM documents")
 def stream_dedup(spark, sf_dir):
-    return stateful.written(spark, corpus_stream.dedup(_stream(spark, sf_dir, "documents")).select("h"), "append", stateful.scratch(spark)).agg(F.count("*").alias("n"))
+    return stateful.written(spark, corpus_stream.dedup(_stream(spark, sf_dir, "documents")).select("h"), "append", stage.scratch(spark)).agg(F.count("*").alias("n"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -370,4 +359,4 @@ def events_session(spark, sf_dir):
     return out.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-from . import queries_corpus, queries_dialogue, queries_search  # noqa: E402, F401
+from . import queries_corpus, queries_dialogue, queries_index, queries_search  # noqa: E402, F401

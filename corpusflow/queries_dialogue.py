@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import corpus, dialogue, evaluation, grounded, judge, rollouts, trajectories
+from .plans import stage
 from .registry import query, table
 from .streaming import stateful
 
@@ -272,7 +273,7 @@ def stream_cache(spark, sf_dir):
     requests = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), at.alias("at"), F.when(i % 3 == 0, "put").otherwise("get").alias("kind"), (at + 3600).alias("expires"), "event_type", "event_id")
     # A get is known by its key and time; its payload is what it asks for.
     asked = requests.withColumn("payload", F.col("event_type"))
-    answers = stateful.written(spark, stateful.cache(asked.drop("event_type", "event_id")), "append", stateful.scratch(spark))
+    answers = stateful.written(spark, stateful.cache(asked.drop("event_type", "event_id")), "append", stage.scratch(spark))
     gets = table(spark, sf_dir, "events").where("event_id % 3 <> 0").select("event_id", F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0).alias("at"))
     return gets.join(answers, ["key", "at"]).select("event_id", "hit", "payload")
 
@@ -283,7 +284,7 @@ def stream_service_counters(spark, sf_dir):
 
     i = F.col("event_id") % 4
     rows = _stream(spark, sf_dir, "events").select(F.when(i == 0, 200).when(i == 1, 429).when(i == 2, 503).otherwise(504).alias("status"))
-    return stateful.written(spark, stateful.service_counters(rows), "complete", stateful.scratch(spark))
+    return stateful.written(spark, stateful.service_counters(rows), "complete", stage.scratch(spark))
 
 
 @query("SELECT user_id AS run, max(event_id) AS step, max_by(value, event_id) AS loss FROM events GROUP BY 1")
@@ -291,7 +292,7 @@ def stream_metrics_log(spark, sf_dir):
     from .queries import _stream
 
     rows = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
-    return stateful.written(spark, stateful.metrics_by_run(rows), "complete", stateful.scratch(spark))
+    return stateful.written(spark, stateful.metrics_by_run(rows), "complete", stage.scratch(spark))
 
 
 @query("SELECT e AS epoch, doc_id FROM documents, range(1, 3) t(e) WHERE e > 1 OR doc_id >= 100")

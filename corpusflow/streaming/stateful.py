@@ -91,9 +91,3 @@ def written(spark: SparkSession, stream: DataFrame, mode: str, root: str) -> Dat
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
-
-def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, else the warehouse."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return root.rstrip("/")
