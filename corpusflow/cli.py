@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
+import importlib
 import json
 import sys
 from collections.abc import Sequence
@@ -10,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import articles, corpus, evaluation, grounded, preparation, retrieval, schedules, search, trajectories, validation
-from .sources import files, jsonl
+from .operators import articles, corpus, evaluation, grounded, indexes, preparation, schedules, search, trajectories, validation
+from .plans.stage import staged
+from .sources import files, jsonl, tokens
 
 LOSSES = "loss double, tokens long"
 ANSWERS = "task string, prediction string, answer string"
@@ -24,52 +27,80 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(True) for r in df.collect()]  # reports: a few rows
 
 
+def _named(name: str):
+    """What `module:function` names."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows with n, staged, so that n is the same in all that is made of them."""
+    return staged(rows.withColumn("n", F.monotonically_increasing_id()), name)
+
+
 def bootstrap_data(spark, a) -> dict:
     rows = spark.read.schema("id string, title string, url string, text string").json(a.input)
-    found = articles.articles(rows.withColumn("n", F.monotonically_increasing_id()), a.limit, "n")
+    found = staged(articles.articles(_numbered(rows, "articles"), a.limit, "n"), "articles-found")
     asked = articles.with_no_search(articles.questions(found))
     return {"articles": jsonl.write_whole(found, f"{a.output}/articles", True), "questions": jsonl.write_whole(asked, f"{a.output}/questions", True)}
 
 
 def prepare_data(spark, a) -> dict:
     manifest = validation.load_manifest(spark, a.manifest)
-    prompts = jsonl.evaluation_prompts(spark, a.prompts).select(F.monotonically_increasing_id().alias("item_id"), F.col("prompt").alias("text"))
+    prompts = staged(jsonl.evaluation_prompts(spark, a.prompts).select(F.monotonically_increasing_id().alias("item_id"), F.col("prompt").alias("text")), "prompts")
     included = sorted({s for e in manifest.values() for s in e.get("included_sources", [])})
     outputs = {}
     for kind, path, cap in (("reasoning", a.reasoning, a.reasoning_cap), ("general", a.general, a.general_cap)):
         if not path:
             continue
-        rows = preparation.with_text(spark.read.json(path)).withColumn("n", F.monotonically_increasing_id())
+        rows = _numbered(preparation.with_text(spark.read.json(path)), "prepare-rows")
         checked = preparation.gated(rows, included) if kind == "reasoning" else preparation.general_checked(rows).withColumn("source", F.lit("general"))
         docs = preparation.reasoning_documents(checked, "n") if kind == "reasoning" else preparation.general_documents(checked, "general", "n")
-        counted = docs.withColumn("n_tokens", F.regexp_count("text", F.lit(r"\S+")).cast("long"))
-        chosen = preparation.corpus_selection(counted, prompts if a.prompts else None, cap, "n", "n_tokens")
+        if a.tokenizer:
+            docs = staged(tokens.encoded(docs, a.tokenizer), "prepare-ids")
+            counted = docs.withColumn("n_tokens", F.size("ids").cast("long"))
+        else:
+            counted = docs.withColumn("n_tokens", F.regexp_count("text", F.lit(r"\S+")).cast("long"))
+        chosen = staged(preparation.corpus_selection(counted.drop("ids"), prompts if a.prompts else None, cap, "n", "n_tokens"), "prepare-fates")
         report = _rows(preparation.corpus_report(chosen))[0] | {"filtering": _rows(preparation.counters(checked))[0]}
         kept = docs.join(chosen.where("kept > 0").select("n", "kept"), "n")
-        jsonl.write_whole(kept.select("text", "source", "verification", "kept"), f"{a.output}/{kind}", True)
+        if a.tokenizer:
+            raw = spark.read.format("binaryFile").load(a.tokenizer).first().content  # one small file
+            own = {k: report[k] for k in ("duplicates_removed", "contaminated_removed", "filtering")}
+            known = {"tokenizer_sha256": hashlib.sha256(raw).hexdigest(), **own}
+            report = tokens.write(kept.drop("text", "kept"), f"{a.output}/{kind}", _vocabulary(raw), cap, **known)
+        else:
+            jsonl.write_whole(kept.select("text", "source", "verification", "kept"), f"{a.output}/{kind}", True)
         outputs[kind] = report
     run = {"format_version": 2, "datasets": manifest, "evaluation_prompts": prompts.count(), "outputs": outputs}
     files.write_report(spark, run, f"{a.output}/preparation-manifest.json")
     return outputs
 
 
+def _vocabulary(raw: bytes) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(raw.decode()).get_vocab_size()
+
+
 def build_index(spark, a) -> dict:
     config = validation.load_retrieval_config(spark, a.config)
     chunks = search.chunk_table(jsonl.valid(jsonl.documents(spark, a.input)))
-    keyed = {f: chunks.select("chunk_id", F.col(f).alias("t")) for f in ("title", "content")}
-    tables = {"chunks": chunks} | {f"postings-{f}": retrieval.postings(t, "chunk_id", F.col("t")) for f, t in keyed.items()} | {f"lengths-{f}": t.select("chunk_id", F.size(retrieval.terms(F.col("t"))).alias("length")) for f, t in keyed.items()}
-    n = files.write_index(spark, tables, {"lexical": "bm25", "dense": False, "candidate_multiplier": config["candidate_multiplier"], "rrf_constant": config["rrf_constant"]}, a.output)
-    return {"chunks": n}
+    return {"chunks": indexes.build(chunks, a.output, _named(a.encoder) if a.encoder else None, config)}
 
 
 def ask(spark, a) -> dict:
-    table = lambda n: spark.read.parquet(f"{a.index}/{n}")
-    config = json.loads(files.read_text(spark, f"{a.index}/retrieval-manifest.json"))
-    lexical = search.lexical_search({f: table(f"postings-{f}") for f in ("title", "content")}, {f: table(f"lengths-{f}") for f in ("title", "content")}, "chunk_id", {"title": 2.0, "content": 1.0})
+    index = indexes.Index(spark, a.index, _named(a.encoder) if a.encoder else None)
     queries = spark.createDataFrame([(0, a.query)], "query_id long, text string")
-    none = lambda q, n: spark.createDataFrame([], "query_id long, chunk_id string, score double, rank int")
-    found = search.hybrid(queries, lexical, none, table("chunks"), "chunk_id", a.k, config)
-    return {"results": _rows(found.orderBy("rank"))}
+    return {"results": _rows(index.search(queries, a.k).orderBy("rank"))}
+
+
+def benchmark_grounded(spark, a) -> dict:
+    """--answerer names a function from examples to answers (see grounded.benchmark)."""
+    examples = jsonl.valid(jsonl.rollout_prompts(spark, a.input))
+    done = grounded.benchmark(examples, _named(a.answerer), tuple(a.modes.split(",")))
+    written = jsonl.write_whole(done, a.output, True)
+    return {"records": written, "report": _rows(grounded.report(spark.read.schema(GROUNDED).json(a.output)))}
 
 
 def make_trajectories(spark, a) -> dict:
@@ -115,13 +146,14 @@ def decontaminate(spark, a) -> dict:
 #: Command: function, required options, optional ones with defaults.
 COMMANDS = {
     "bootstrap-data": (bootstrap_data, ("input", "output"), {"limit": 5000}),
-    "prepare-data": (prepare_data, ("manifest", "output"), {"reasoning": "", "general": "", "prompts": None, "reasoning_cap": 2_000_000_000, "general_cap": 1_000_000_000}),
-    "build-index": (build_index, ("input", "output"), {"config": None}),
-    "ask": (ask, ("index", "query"), {"k": 5}),
+    "prepare-data": (prepare_data, ("manifest", "output"), {"reasoning": "", "general": "", "prompts": None, "tokenizer": None, "reasoning_cap": 2_000_000_000, "general_cap": 1_000_000_000}),
+    "build-index": (build_index, ("input", "output"), {"config": None, "encoder": None}),
+    "ask": (ask, ("index", "query"), {"k": 5, "encoder": None}),
     "make-trajectories": (make_trajectories, ("input", "output"), {}),
     "score-lm": (score_lm, ("input",), {}),
     "score-reasoning": (score_reasoning, ("input",), {}),
     "score-grounded": (score_grounded, ("input",), {}),
+    "benchmark-grounded": (benchmark_grounded, ("input", "answerer", "output"), {"modes": "off,local"}),
     "compare-proxies": (compare_proxies, ("input",), {}),
     "experiment-plan": (experiment_plan, (), {"output": None}),
     "decontaminate": (decontaminate, ("input", "prompts", "output"), {}),

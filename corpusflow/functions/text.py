@@ -25,6 +25,12 @@ def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
+def case_folded(c: Column) -> Column:
+    """Text for comparison without case: upper and lower case of all letters, also
+    of those that become two (the German sharp s), and one small sigma."""
+    return F.replace(F.lower(F.upper(c)), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
 def normalized_hash(c: Column) -> Column:
     """SHA-256 (hex) of the lower-cased, collapsed text."""
     return F.sha2(collapsed(F.lower(c)), 256)

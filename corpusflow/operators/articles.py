@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.prefix import numbered
 
 # Texts of the question rows, and the two rows that need no search.
 QUESTION = ('What is the main topic of the Wikipedia article titled "', '"?')
@@ -32,17 +33,14 @@ def quoted(c: Column) -> Column:
 def articles(rows: DataFrame, limit: int | None = None, order: str = "id") -> DataFrame:
     """id, title, url, text of usable rows, the first `limit` accepted ones by
     order. An id that is missing or blank becomes the number of the accepted
-    rows before it; only for that, rows are counted, by ranges (no single task
-    sorts the table)."""
+    rows before it; only where there is one rows are numbered, by ranges (no
+    single task sorts the table)."""
     found = rows.where(usable(F.col("title"), F.col("text")))
     if limit is not None:
         found = found.orderBy(order).limit(limit)
     raw = X.stripped(F.coalesce(F.col("id").cast("string"), F.lit("")))
-    # The index of an accepted row: rows with an id never need it.
-    w = Window.orderBy(order)
-    lacking = found.where(raw == "")
-    if limit is not None and lacking.head(1):
-        found = found.withColumn("_n", F.row_number().over(w) - 1)  # at most `limit` rows
+    if found.where(raw == "").head(1):
+        found = numbered(found, [order], "_n")
         raw = F.when(raw == "", F.col("_n").cast("string")).otherwise(raw)
     title = X.stripped(F.col("title"))
     url = X.stripped(F.coalesce(F.col("url"), F.lit("")))

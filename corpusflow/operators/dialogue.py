@@ -14,7 +14,8 @@ def tool_call(text: Column) -> Column:
     """struct(name, query, top_k) of the one call in a text; null if there is
     none or more than one, or its JSON or arguments aren't valid: a name other
     than search, a query that isn't a string of 1 to 500 characters, a top_k
-    that isn't a whole number of 1 to 10, anything behind the JSON."""
+    that isn't a whole number of 1 to 10, anything behind the JSON. As in the
+    schema it follows, 5.0, "5" and true are whole numbers too; null isn't."""
     once = lambda t: (F.length(text) - F.length(F.replace(text, F.lit(t)))) == len(t)
     body = F.regexp_extract(text, r"(?s)<\|tool_call\|>(.*?)<\|end_tool_call\|>", 1)
     # Parsed as a list of one, what stands behind the object is an error.
@@ -24,8 +25,9 @@ def tool_call(text: Column) -> Column:
     kind = lambda path: F.schema_of_variant(F.try_variant_get(call, path, "variant"))
     query = X.collapsed(F.try_variant_get(call, "$.arguments.query", "string"))
     given = F.try_variant_get(call, "$.arguments.top_k", "variant")
-    k = F.coalesce(F.try_variant_get(call, "$.arguments.top_k", "int"), F.lit(5))
-    whole_k = given.isNull() | F.schema_of_variant(given).isin("BIGINT")
+    said = F.try_variant_get(call, "$.arguments.top_k", "string")
+    k = F.when(given.isNull(), 5).when(said == "true", 1).otherwise(F.regexp_extract(said, r"^\s*\+?([0-9]{1,9})(?:\.0*)?\s*$", 1).try_cast("int"))
+    whole_k = given.isNull() | (F.schema_of_variant(given) != "VOID")
     name = F.try_variant_get(call, "$.name", "string")
     ok = once(CALL) & once(END_CALL) & one & (name == "search") & (kind("$.name") == "STRING") & (kind("$.arguments.query") == "STRING") & F.length(query).between(1, 500) & whole_k & k.between(1, 10)
     return F.when(ok, F.struct(name.alias("name"), query.alias("query"), k.alias("top_k")))

@@ -22,8 +22,33 @@ def answers(rows: DataFrame) -> DataFrame:
     return scored.rollup("task").agg(F.count("*").alias("n"), F.avg("em").alias("exact_match"), F.avg("f1").alias("token_f1"))
 
 
+#: Ranks of a sketch are wrong by at most one part in so many.
+SKETCH = 10_000
+
+
 def percentiles(rows: DataFrame, value: str, by: str, **quantiles: float) -> DataFrame:
-    return rows.groupBy(by).agg(F.count("*").alias("n"), *[F.coalesce(F.percentile(value, q), F.lit(0.0)).alias(k) for k, q in quantiles.items()])
+    """by, n and the exact interpolated quantiles of each group (0.0 without values).
+
+    A quantile's place is bracketed by a sketch, which is merged map-side and has
+    a proven error; a second pass counts what lies below the bracket and the
+    values in it, map-side too. So no task has more of a group's values than
+    the distinct ones of a bracket, some 6 in SKETCH of them. Null groups are a
+    group; null values count in n only.
+    """
+    some = rows.select(by, F.col(value).cast("double").alias("_v"))
+    names = list(quantiles)
+    edges = [min(1.0, max(0.0, q + side * 3 / SKETCH)) for q in quantiles.values() for side in (-1, 1)]
+    drawn = some.groupBy(by).agg(F.count("*").alias("n"), F.count("_v").alias("_k"), F.percentile_approx("_v", edges, SKETCH).alias("_e"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    edge = lambda i, q, side: F.col("_least") if edges[i] == 0.0 else F.col("_most") if edges[i] == 1.0 else F.col("_e")[i]
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), ((F.col("_k") - 1) * F.lit(float(q))).alias("place"), edge(2 * i, q, 0).alias("lo"), edge(2 * i + 1, q, 1).alias("hi")) for i, (k, q) in enumerate(quantiles.items())])
+    brackets = drawn.where("_k > 0").select(F.col(by).alias("_by"), F.explode(wanted).alias("w")).select("_by", "w.*")
+    met = some.where("_v IS NOT NULL").join(brackets, F.col(by).eqNullSafe(F.col("_by"))).where("_v <= hi")
+    counts = met.groupBy("_by", "name", "place", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("_by", "name").orderBy(F.col("_v").asc_nulls_first())))
+    found = upto.groupBy("_by", "name", "place").agg(F.min(F.when(F.col("upto") > F.floor("place"), F.col("_v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("place"), F.col("_v"))).alias("b"))
+    between = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place")))
+    wide = found.groupBy("_by").agg(*[F.max(F.when(F.col("name") == k, between)).alias(k) for k in names])
+    return drawn.select(by, "n").join(wide, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in names])
 
 
 def ranked(retrieved: Column, supporting: Column, cutoff: int | None = None) -> Column:
@@ -64,7 +89,8 @@ def ranked_hits(found: DataFrame, sizes: DataFrame, group: str, cutoff: int) ->
 
 def final_metric(log: DataFrame, run: str, step: str) -> DataFrame:
     """The last row of each run with its ratio of reasoning tokens."""
-    last = log.groupBy(run).agg(F.max_by(F.struct("reasoning_tokens", "tokens_seen", "loss"), F.struct(step)).alias("r")).select(run, "r.*")
+    fields = [c for c in ("reasoning_tokens", "tokens_seen", "loss", "tokens_per_second") if c in log.columns]
+    last = log.groupBy(run).agg(F.max_by(F.struct(*fields), F.struct(step)).alias("r")).select(run, "r.*")
     return last.withColumn("ratio", F.col("reasoning_tokens") / F.greatest(F.lit(1), F.col("tokens_seen")))
 
 
@@ -72,13 +98,17 @@ def compared(log: DataFrame, run: str, step: str) -> DataFrame:
     """One row: runs (an array of the last row of each run, by ratio),
     equal_token_budget and token_budget_spread. There are few runs."""
     last = final_metric(log, run, step)
-    ordered = F.array_sort(F.collect_list(F.struct("ratio", run, F.col("loss").alias("final_loss"), "tokens_seen")))
+    speed = [c for c in ("tokens_per_second",) if c in last.columns]
+    ordered = F.array_sort(F.collect_list(F.struct("ratio", run, F.col("loss").alias("final_loss"), "tokens_seen", *speed)))
     return last.agg(ordered.alias("runs"), (F.count_distinct("tokens_seen") == 1).alias("equal_token_budget"), (F.max("tokens_seen") - F.min("tokens_seen")).alias("token_budget_spread"))
 
 
 def advantages(rewards: DataFrame, group: str, epsilon: float = 1e-4) -> DataFrame:
-    """rewards with advantage relative to the group; groups of one are an error."""
+    """rewards with advantage relative to the group; groups of one are an error, as
+    are rewards that are null, infinite or not a number."""
     w = Window.partitionBy(group)
+    odd = F.col("reward").isNull() | F.isnan("reward") | (F.abs("reward") == float("inf"))
+    rewards = rewards.withColumn("reward", F.when(odd, F.raise_error(F.lit("a reward isn't finite")).cast("double")).otherwise(F.col("reward")))
     value = (F.col("reward") - F.avg("reward").over(w)) / (F.stddev_pop("reward").over(w) + epsilon)
     return rewards.withColumn("advantage", F.when(F.count("*").over(w) < 2, F.raise_error(F.lit("a group needs two rewards")).cast("double")).otherwise(value))
 

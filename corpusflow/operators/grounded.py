@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .evaluation import ranked
+from .evaluation import percentiles, ranked
 
 IDS = "array<string>"
 #: The report's means over rows, and its ratios of sums.
@@ -64,8 +64,12 @@ def report(rows: DataFrame) -> DataFrame:
         *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in MEANS],
         F.coalesce(F.sum("valid") / F.nullif(F.sum("total"), F.lit(0)), F.lit(1.0)).alias("valid_tool_call_rate"),
         F.coalesce(F.sum("recovered") / F.greatest(F.sum("chances"), F.lit(1)), F.lit(0.0)).alias("query_recovery_rate"),
-        *[F.coalesce(F.percentile("elapsed", q), F.lit(0.0)).alias(f"latency_{n}_seconds") for n, q in (("p50", 0.5), ("p95", 0.95))],
     )
+    every = F.struct(F.lit(1).cast("tinyint").alias("all"), F.lit(None).cast("string").alias("mode"))
+    keyed = parts.select("elapsed", F.explode(F.array(every, F.struct(F.lit(0).cast("tinyint").alias("all"), F.col("search_mode").alias("mode")))).alias("_level"))
+    late = percentiles(keyed, "elapsed", "_level", latency_p50_seconds=0.5, latency_p95_seconds=0.95).drop("n")
+    level = F.struct(F.col("_all").cast("tinyint").alias("all"), F.col("search_mode").alias("mode"))
+    out = out.withColumn("_own", level).join(late, F.col("_own").eqNullSafe(F.col("_level")), "left").fillna(0.0, ["latency_p50_seconds", "latency_p95_seconds"])
     modes = parts.agg(F.count_distinct("search_mode").alias("_modes"))
     return out.join(F.broadcast(modes)).where("_all = 1 OR _modes > 1").select("search_mode", "count", *FIELDS)  # one row of modes
 

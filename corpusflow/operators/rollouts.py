@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import dialogue, evaluation
 
-# What a trace entry's status may be.
+# Rounds of a tool loop beyond its searches, and what a trace entry's status may be.
+EXTRA_ROUNDS = 4
 VALID, INVALID = ("ok", "empty", "error"), ("invalid", "rejected")
 
 
@@ -20,13 +21,16 @@ def history(turns: DataFrame, request: str = "request_id", turn: str = "turn") -
     empty, error: what the search gave or would give). A text without the call
     marker ends the loop; one whose call can't be read is invalid, the second
     such disables tools; with mode off or the budget used it meets the limit; a
-    query asked before is rejected but uses budget.
+    query asked before is rejected but uses budget. A loop has max_searches and
+    EXTRA_ROUNDS turns at most; what is logged after them isn't replayed.
     """
     call = dialogue.tool_call(F.col("text"))
-    rows = turns.withColumn("_q", F.lower(call["query"])).withColumn("_tries", F.col("text").contains(dialogue.CALL))
+    rows = turns.withColumn("_q", X.case_folded(call["query"])).withColumn("_tries", F.col("text").contains(dialogue.CALL))
     so_far = Window.partitionBy(request).orderBy(turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(request).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_ended", F.coalesce(F.max((~F.col("_tries")).cast("int")).over(before), F.lit(0)) == 1)
+    rows = rows.withColumn("_round", F.row_number().over(Window.partitionBy(request).orderBy(turn)))
+    rows = rows.withColumn("_ended", F.col("_ended") | (F.col("_round") > F.col("max_searches") + EXTRA_ROUNDS))
     asks = F.col("_q").isNotNull() & ~F.col("_ended") & (F.col("mode") != "off")
     # Repeats use budget too: the nth well-formed call of a request is its nth search while n <= the budget.
     rows = rows.withColumn("_n", F.sum(asks.cast("int")).over(so_far))
@@ -43,13 +47,14 @@ def history(turns: DataFrame, request: str = "request_id", turn: str = "turn") -
         .otherwise(F.coalesce("outcome", F.lit("error")))
     )
     out = rows.withColumns({"status": status, "invalid_attempts": F.sum(bad.cast("int")).over(so_far), "searches_used": F.sum(F.col("_used").cast("int")).over(so_far)})
-    return out.withColumn("tools_disabled", F.col("invalid_attempts") >= 2).drop("_q", "_tries", "_ended", "_n", "_used", "_again")
+    last = (F.col("_round") == F.col("max_searches") + EXTRA_ROUNDS) & ~F.col("status").isin("answer", "after_end")
+    return out.withColumns({"tools_disabled": F.col("invalid_attempts") >= 2, "rounds_spent": last}).drop("_q", "_tries", "_ended", "_n", "_used", "_again", "_round")
 
 
 def finish_reason(replayed: DataFrame, request: str = "request_id") -> DataFrame:
-    """request, finish_reason (that of the last turn that set one, else answer)
-    and searches_used."""
-    sets = F.when(F.col("status") == "search_limit", "search_limit").when((F.col("status") == "invalid") & F.col("tools_disabled"), "invalid_tool")
+    """request, finish_reason (search_limit if all rounds are spent without an
+    answer, else that of the last turn that set one, else answer) and searches_used."""
+    sets = F.when((F.col("status") == "search_limit") | F.col("rounds_spent"), "search_limit").when((F.col("status") == "invalid") & F.col("tools_disabled"), "invalid_tool")
     return replayed.groupBy(request).agg(F.coalesce(F.max_by(sets, F.when(sets.isNotNull(), F.col("turn"))), F.lit("answer")).alias("finish_reason"), F.max("searches_used").alias("searches_used"))
 
 
@@ -113,3 +118,13 @@ def service_counters(requests: DataFrame, status: str = "status") -> DataFrame:
     the queue was full) of a log of accepted requests."""
     s = F.col(status)
     return requests.agg(F.count("*").alias("requests"), F.count_if(s.isin(503, 504)).alias("errors"), F.count_if(s == 429).alias("busy"))
+
+
+# Fixed value: what is answered when a loop ends with a call.
+NO_ANSWER = "<|reasoning|>The tool loop did not yield a final response.<|answer|>I could not produce a grounded final answer within the tool budget."
+
+
+def final_text(replayed: DataFrame, request: str = "request_id", turn: str = "turn") -> DataFrame:
+    """request and text: what its last replayed turn says, or NO_ANSWER if that is a call."""
+    last = replayed.where("status <> 'after_end'").groupBy(request).agg(F.max_by("text", turn).alias("text"))
+    return last.withColumn("text", F.when(F.col("text").contains(dialogue.CALL), NO_ANSWER).otherwise(F.col("text")))

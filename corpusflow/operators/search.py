@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.stage import staged
 from . import lexicon, retrieval, vectors
 
 # The default retrieval configuration.
@@ -86,12 +87,15 @@ def reranked(found: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Serie
     return best.withColumn("score_components", F.map_concat("score_components", F.create_map(F.lit("reranker"), "score")))
 
 
-def hybrid(queries: DataFrame, lexical: Search, dense: Search, chunks: DataFrame, key: str, k: int, config: dict = CONFIG) -> DataFrame:
-    """The k best chunks of each query; a query of white space has none."""
+def hybrid(queries: DataFrame, lexical: Search, dense: Search, chunks: DataFrame | Callable[[DataFrame], DataFrame], key: str, k: int, config: dict = CONFIG) -> DataFrame:
+    """The k best chunks of each query; a query of white space has none. chunks is a
+    table, or gives the chunks of found rows."""
     asked = queries.where(F.length(X.stripped(F.col("text"))) > 0)
     limit = max(k, k * int(config["candidate_multiplier"]))
     both = fused(lexical(asked, limit), dense(asked, limit), key, config["rrf_constant"])
-    return hydrated(both, chunks, key, k)
+    if callable(chunks):
+        both = staged(both.where(F.col("rank") <= k), "hybrid")
+    return hydrated(both, chunks(both) if callable(chunks) else chunks, key, k)
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:

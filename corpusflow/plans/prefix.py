@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stage import staged
+
 
 def range_of(value: Column, cuts: list[int]) -> Column:
     """How many of the sorted cuts are below a value, by binary search in one
@@ -37,3 +39,15 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, rows_per_bucke
     offset = sums.select("_bucket", (F.sum("s").over(Window.orderBy("_bucket")) - F.col("s")).alias("_before"))
     within = F.sum(value).over(Window.partitionBy("_bucket").orderBy(order))
     return keyed.withColumn("_within", within).join(F.broadcast(offset), "_bucket").withColumn(name, F.col("_within") + F.col("_before")).drop("_bucket", "_within", "_before")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with name: the number (from 0) of each row by `order`, columns of any type.
+    Rows are sorted by ranges and staged with the number of their partition; what
+    is summed is one count per partition. Rows that are equal in `order` have any order."""
+    whole = staged(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    counts = whole.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    placed = whole.withColumn("_part", part).join(F.broadcast(before), "_part")  # a row per partition
+    return placed.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_at")

@@ -19,8 +19,8 @@ COLLAPSE = rf"trim(regexp_replace(%s, '{SPACE}+', ' ', 'g'))"
 HASH = f"sha256({COLLAPSE % 'lower(text)'})"
 
 INCLUDED = [f"src-{i}" for i in range(5)]
-ROWS = """rows AS (SELECT doc_id, 'src-' || (doc_id % 6) AS source, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE left(text, 60) END AS prompt,
- CASE WHEN doc_id % 13 = 0 THEN '' ELSE '<Think> ' || left(text, 3000) || '</think> <answer>' || CASE WHEN doc_id % 17 = 0 THEN ' ' WHEN doc_id % 2 = 0 THEN 'It is (b)' ELSE '$\\boxed{12}$.' END || '</answer>' END AS response,
+ROWS = """rows AS (SELECT doc_id, 'src-' || (doc_id % 6) AS source, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE text END AS prompt,
+ CASE WHEN doc_id % 13 = 0 THEN '' ELSE '<Think> ' || text || '</think> <answer>' || CASE WHEN doc_id % 17 = 0 THEN ' ' WHEN doc_id % 2 = 0 THEN 'It is (b)' ELSE '$\\boxed{12}$.' END || '</answer>' END AS response,
  CASE doc_id % 7 WHEN 0 THEN 'length' WHEN 1 THEN NULL ELSE 'stop' END AS finish_reason,
  CASE doc_id % 4 WHEN 0 THEN 'Logic puzzle' WHEN 1 THEN 'MATH' WHEN 2 THEN 'code' END AS domain,
  CASE doc_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN ' 12' ELSE NULL END AS expected_answer FROM documents WHERE text <> '')"""
@@ -37,8 +37,8 @@ def reasoning_rows(spark, sf_dir):
     return preparation.with_text(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.concat(F.lit("src-"), i % 6).alias("source"),
-        F.when(i % 11 == 0, " ").otherwise(F.left("text", F.lit(60))).alias("prompt"),
-        F.when(i % 13 == 0, "").otherwise(F.concat(F.lit("<Think> "), F.left("text", F.lit(3000)), F.lit("</think> <answer>"), answer, F.lit("</answer>"))).alias("response"),
+        F.when(i % 11 == 0, " ").otherwise(F.col("text")).alias("prompt"),
+        F.when(i % 13 == 0, "").otherwise(F.concat(F.lit("<Think> "), "text", F.lit("</think> <answer>"), answer, F.lit("</answer>"))).alias("response"),
         F.when(i % 7 == 0, "length").when(i % 7 != 1, "stop").alias("finish_reason"),
         F.when(i % 4 == 0, "Logic puzzle").when(i % 4 == 1, "MATH").when(i % 4 == 2, "code").alias("domain"),
         F.when(i % 3 == 0, "B").when(i % 3 == 1, " 12").alias("expected_answer"),

@@ -25,10 +25,10 @@ F1 = "CASE WHEN len(p) = 0 OR len(a) = 0 THEN (len(p) = 0 AND len(a) = 0)::INT E
 
 
 def letters(c):
-    return F.left(F.regexp_replace(c, "[^A-Za-z ]", ""), F.lit(40))
+    return F.regexp_replace(c, "[^A-Za-z ]", "")
 
 
-LETTERS = "left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 40)"
+LETTERS = "regexp_replace(text, '[^A-Za-z ]', '', 'g')"
 
 
 def _calls(spark, sf_dir):
@@ -45,9 +45,9 @@ def tool_call_parse(spark, sf_dir):
     return _calls(spark, sf_dir).select("conv_id", "turn", dialogue.tool_call(F.col("t")).alias("c")).select("conv_id", "turn", "c.query", "c.top_k")
 
 
-@query(rf"SELECT conv_id, turn, {STRIP % 'left(text, 20)'} AS reasoning, 'See [a:1] and  or' || CASE WHEN turn = 2 THEN ' [b:2]' ELSE '' END AS answer, 'a:1' || CASE WHEN turn = 2 THEN ',b:2' ELSE '' END AS cited FROM conversations")
+@query(rf"SELECT conv_id, turn, {STRIP % 'text'} AS reasoning, 'See [a:1] and  or' || CASE WHEN turn = 2 THEN ' [b:2]' ELSE '' END AS answer, 'a:1' || CASE WHEN turn = 2 THEN ',b:2' ELSE '' END AS cited FROM conversations")
 def final_response_parse(spark, sf_dir):
-    t = F.concat(F.lit("<|reasoning|>"), F.left("text", F.lit(20)), F.lit("<|answer|>See <|citation|>a:1 and <|citation|>a:10 or <|citation|>b:"), F.col("turn"))
+    t = F.concat(F.lit("<|reasoning|>"), "text", F.lit("<|answer|>See <|citation|>a:1 and <|citation|>a:10 or <|citation|>b:"), F.col("turn"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("t"))
     out = rows.select("conv_id", "turn", dialogue.final_answer(F.col("t"), F.array(F.lit("a:1"), F.lit("b:2"))).alias("a"))
     return out.select("conv_id", "turn", "a.reasoning", "a.answer", F.array_join("a.cited", ",").alias("cited"))
@@ -61,14 +61,13 @@ def cited_metadata(spark, sf_dir):
     return out.select("conv_id", "turn", F.explode("citations").alias("c")).select("conv_id", "turn", "c.source_id", "c.title", "c.provider")
 
 
-HEAD = "'<|problem|>' || left(text, 30)"
-TAILED = f"{HEAD} || '<|tool_call|>c<|end_tool_call|><|tool_result|>' || left(text, turn + 1) || '<|end_tool_result|>mid<|tool_result|>open ' || left(text, 5)"
+HEAD = "'<|problem|>' || text"
+TAILED = f"{HEAD} || '<|tool_call|>c<|end_tool_call|><|tool_result|>' || text || '<|end_tool_result|>mid<|tool_result|>open ' || text"
 
 
-@query(f"SELECT conv_id, turn, length({TAILED})::BIGINT AS n, (length({HEAD}) + length('<|tool_result|><|end_tool_result|>') + length(left(text, turn + 1)) + length('<|tool_result|>open ') + length(left(text, 5)))::BIGINT AS masked FROM conversations")
+@query(f"SELECT conv_id, turn, length({TAILED})::BIGINT AS n, (length({HEAD}) + length('<|tool_result|><|end_tool_result|>') + length(text) + length('<|tool_result|>open ') + length(text))::BIGINT AS masked FROM conversations")
 def sft_label_mask(spark, sf_dir):
-    part = lambda n: F.left("text", n)
-    t = F.concat(F.lit("<|problem|>"), part(F.lit(30)), F.lit("<|tool_call|>c<|end_tool_call|><|tool_result|>"), part((F.col("turn") + 1).cast("int")), F.lit("<|end_tool_result|>mid<|tool_result|>open "), part(F.lit(5)))
+    t = F.concat(F.lit("<|problem|>"), "text", F.lit("<|tool_call|>c<|end_tool_call|><|tool_result|>"), "text", F.lit("<|end_tool_result|>mid<|tool_result|>open "), "text")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("t"))
     # One token per character.
     at = F.sequence(F.lit(0), F.length("t") - 1)
@@ -120,29 +119,29 @@ def trajectory_documents(spark, sf_dir):
     return docs.select("doc_id", F.sha2(trajectories.document(F.left("text", F.lit(50)), F.col("lang"), searches, F.lit(" why ")), 256).alias("text_sha256"))
 
 
-@query("SELECT conv_id, turn, '<|tool_result|>{\"error\":' || to_json(left(text, 80))::VARCHAR || '}<|end_tool_result|>' AS block FROM conversations")
+@query("SELECT conv_id, turn, '<|tool_result|>{\"error\":' || to_json(text)::VARCHAR || '}<|end_tool_result|>' AS block FROM conversations")
 def tool_errors(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", trajectories.formatted_error(F.left("text", F.lit(80))).alias("block"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", trajectories.formatted_error(F.col("text")).alias("block"))
 
 
 JUDGED = "(event_id % 13) / 10.0"
 
 
 @query(f"""SELECT event_id, CASE WHEN k > 6 AND s <= 1 THEN s ELSE 0 END::DOUBLE AS answer_correctness, k > 6 AND s <= 1 AS valid,
-CASE k WHEN 0 THEN 'judge output contained leading text' WHEN 1 THEN 'judge output contained trailing text' WHEN 2 THEN 'judge output used an invalid schema' WHEN 3 THEN 'judge field evidence_support was not numeric' WHEN 4 THEN 'judge output did not contain JSON' WHEN 5 THEN CASE WHEN s > 1 THEN 'judge field answer_correctness was outside [0, 1]' ELSE 'judge reason was not a string' END WHEN 6 THEN 'judge output contained invalid JSON'
-ELSE CASE WHEN s > 1 THEN 'judge field answer_correctness was outside [0, 1]' ELSE event_type END END AS reason FROM (SELECT event_id, event_type, event_id % 11 AS k, {JUDGED} AS s FROM events) WHERE NOT (k = 3 AND s > 1)""")
+CASE k WHEN 0 THEN 'judge output contained leading text' WHEN 1 THEN 'judge output contained trailing text' WHEN 2 THEN 'judge output used an invalid schema' WHEN 3 THEN CASE WHEN s > 1 THEN 'judge field answer_correctness was outside [0, 1]' ELSE 'judge field evidence_support was not numeric' END WHEN 4 THEN 'judge output did not contain JSON' WHEN 5 THEN CASE WHEN s > 1 THEN 'judge field answer_correctness was outside [0, 1]' ELSE 'judge reason was not a string' END WHEN 6 THEN 'judge output contained invalid JSON'
+ELSE CASE WHEN s > 1 THEN 'judge field answer_correctness was outside [0, 1]' ELSE event_type END END AS reason FROM (SELECT event_id, event_type, event_id % 11 AS k, {JUDGED} AS s FROM events)""")
 def judge_outputs(spark, sf_dir):
     k, s = F.col("event_id") % 11, (F.col("event_id") % 13) / 10.0
     body = F.concat(F.lit('{"answer_correctness": '), s, F.lit(', "evidence_support": '), F.when(k == 3, "true").otherwise("0.5"), F.lit(', "search_quality": 1, "reason": '), F.when(k == 5, "1").otherwise(F.concat(F.lit('"'), "event_type", F.lit('"'))), F.when(k == 2, ', "more": 1').otherwise(""), F.when(k == 6, "").otherwise("}"))
     text = F.when(k == 0, F.concat(F.lit("so: "), body)).when(k == 1, F.concat(body, F.lit(" done"))).when(k == 4, "none").otherwise(body)
-    rows = table(spark, sf_dir, "events").where(~((k == 3) & (s > 1)))
+    rows = table(spark, sf_dir, "events")
     return rows.select("event_id", judge.judge_score(text).alias("j")).select("event_id", "j.answer_correctness", "j.valid", "j.reason")
 
 
-@query("WITH u AS (SELECT conv_id, turn, text, greatest(least(length(text), 1000 - (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - length(text))), 0) AS n FROM conversations WHERE turn < 4) SELECT conv_id, string_agg(turn || ':' || n, ',' ORDER BY turn) AS used FROM u WHERE n > 0 GROUP BY conv_id")
+@query("WITH u AS (SELECT conv_id, turn, text, greatest(least(length(text), 1000 - (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - length(text))), 0) AS n FROM conversations) SELECT conv_id, string_agg(turn || ':' || n, ',' ORDER BY turn) AS used FROM u WHERE n > 0 GROUP BY conv_id")
 def judge_evidence(spark, sf_dir):
     result = F.struct(F.col("turn").cast("string").alias("id"), F.lit("t").alias("title"), F.col("text").alias("content"), F.lit("s").alias("snippet"))
-    rows = table(spark, sf_dir, "conversations").where("turn < 4").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.array(result).alias("results")))).alias("trace"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.array(result).alias("results")))).alias("trace"))
     found = rows.select("conv_id", judge.evidence(F.col("trace"), 1000).alias("e"))
     return found.select("conv_id", F.array_join(F.transform("e", lambda r: F.concat(r.id, F.lit(":"), F.length(r.content).cast("string"))), ",").alias("used"))
 

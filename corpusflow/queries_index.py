@@ -11,7 +11,6 @@ from .plans.stage import scratch
 from .registry import query, table
 from .sources import tokens
 
-FIELDS = {"title": F.substring_index("text", "\n", 1), "content": F.col("text")}
 BOOSTS = {"title": 2.0, "content": 1.0}
 TERMS = r"list_filter(regexp_extract_all(lower(%s), '[\p{L}\p{N}]+'), lambda t: strlen(t) <= 40)"
 
@@ -31,7 +30,8 @@ SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER B
 
 def _index(spark, sf_dir):
     path = f"{scratch(spark)}/lexicon-{uuid.uuid4().hex}"
-    lexicon.build(table(spark, sf_dir, "documents"), "doc_id", FIELDS, path, BOOSTS)
+    fields = {"title": F.substring_index("text", "\n", 1), "content": F.col("text")}
+    lexicon.build(table(spark, sf_dir, "documents"), "doc_id", fields, path, BOOSTS)
     return lexicon.Lexicon(spark, path)
 
 

@@ -1,11 +1,10 @@
-"""Whole files through Hadoop's file systems: atomic texts, hashes, token files, indexes."""
+"""Whole files through Hadoop's file systems: atomic texts, hashes, logs."""
 
 from __future__ import annotations
 
 import json
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,97 +74,11 @@ def write_report(spark: SparkSession, report: dict, path: str) -> None:
 
 
 def hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes and sha256 of each file; a file's content is one row."""
+    """path, bytes and sha256 of each file. A file's content is one row of at most
+    2 GB, as a SHA-256 is over all of it; token corpora have a tree of hashes."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def append_metrics(rows: DataFrame, path: str) -> None:
     """Add rows to a log of JSON lines: new files, old ones stay."""
     rows.write.mode("append").json(path)
-
-
-def write_tokens(tokens: DataFrame, path: str, vocabulary: int, order: str = "doc_id", ids: str = "ids", extra: dict | None = None) -> dict:
-    """Tokens as Parquet files in stream order under path/tokens, and
-    path/manifest.json with dtype, tokens, documents, bytes and sha256, the hash
-    of the files' own hashes in order (a hash over all bytes in one order would
-    need one task; export_tokens gives it). Nothing is left if there are no tokens."""
-    spark = tokens.sparkSession
-    part = f"{path}.{uuid.uuid4().hex}.partial"
-    dtype = "uint16" if vocabulary <= 65_535 else "uint32"
-    try:
-        tokens.select(order, F.col(ids).cast("array<int>").alias("ids")).orderBy(order).write.parquet(f"{part}/tokens")
-        done = spark.read.parquet(f"{part}/tokens").agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n"), F.count("*").alias("d")).first()
-        if not done.n:
-            raise ValueError(f"no usable tokens were written to {path}")
-        own = hashes(spark, f"{part}/tokens/*.parquet").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: x.sha256), ""), 256).alias("h")).first().h
-        manifest = {"format_version": 2, "dtype": dtype, "vocab_size": vocabulary, "tokens": done.n, "bytes": done.n * (2 if dtype == "uint16" else 4), "documents": done.d, "sha256": own, **(extra or {})}
-        write_report(spark, manifest, f"{part}/manifest.json")
-        replace(spark, part, path)
-    finally:
-        delete(spark, part)
-    return manifest
-
-
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The tokens of write_tokens; an error if their number isn't the manifest's."""
-    manifest = json.loads(read_text(spark, f"{path}/manifest.json"))
-    tokens = spark.read.parquet(f"{path}/tokens")
-    if tokens.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0] != manifest["tokens"]:
-        raise ValueError("token file size does not match its manifest")
-    return tokens
-
-
-def export_tokens(spark: SparkSession, path: str, target: str, order: str = "doc_id") -> str:
-    """One raw file of the tokens in order, streamed through the driver a
-    partition at a time (for trainers that map one file); returns its SHA-256."""
-    import hashlib
-
-    dtype = json.loads(read_text(spark, f"{path}/manifest.json"))["dtype"]
-    digest = hashlib.sha256()
-    part = f"{target}.{uuid.uuid4().hex}.partial"
-    fs, p = _fs(spark, part)
-    try:
-        out = fs.create(p, True)
-        try:
-            for row in read_tokens(spark, path).orderBy(order).select("ids").toLocalIterator():
-                raw = np.array(row.ids, dtype).tobytes()
-                digest.update(raw)
-                out.write(bytearray(raw))
-        finally:
-            out.close()
-        replace(spark, part, target)
-    finally:
-        fs.delete(p, False)
-    return digest.hexdigest()
-
-
-def read_raw_tokens(spark: SparkSession, path: str, dtype: str, tokens: int) -> DataFrame:
-    """position and token of a raw file; an error if its size isn't that of
-    `tokens` of the type. Files are read whole, one row each."""
-    width = 2 if dtype == "uint16" else 4
-    raw = spark.read.format("binaryFile").load(path)
-    if (raw.agg(F.sum("length")).first()[0] or 0) != tokens * width:
-        raise ValueError("token file size does not match its manifest")
-    hexed = F.hex("content")
-    word = lambda i: F.array_join(F.transform(F.sequence(F.lit(width - 1), F.lit(0), F.lit(-1)), lambda b: F.substring(hexed, 2 * (i * width + b) + 1, F.lit(2))), "")
-    return raw.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(max(0, tokens - 1))), lambda i: F.conv(word(i), 16, 10).cast("long"))).alias("position", "token"))
-
-
-def write_index(spark: SparkSession, tables: dict[str, DataFrame], manifest: dict, path: str, counted: str = "chunks") -> int:
-    """An index folder: one Parquet table each and a manifest, built aside and
-    moved into place. An existing target is an error, as is an empty table
-    `counted`; a failure leaves nothing. Returns the number of its rows."""
-    if exists(spark, path):
-        raise FileExistsError(f"index target already exists: {path}")
-    part = f"{path}.{uuid.uuid4().hex}.partial"
-    try:
-        for name, df in tables.items():
-            df.write.parquet(f"{part}/{name}")
-        n = spark.read.parquet(f"{part}/{counted}").count()
-        if not n:
-            raise ValueError("cannot build an empty search index")
-        write_report(spark, {"format_version": 2, counted: n, **manifest}, f"{part}/retrieval-manifest.json")
-        replace(spark, part, path)
-        return n
-    finally:
-        delete(spark, part)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -15,32 +16,42 @@ from ..operators import corpus
 ANSWER = "key string, at double, hit boolean, payload string"
 
 
-def cache(requests: DataFrame) -> DataFrame:
+def cache(requests: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Replays puts and gets against a cache per key.
 
     requests have key, at (seconds), kind (put or get), expires and payload. A
     get is answered: it hits if the row's expiry is later than the request;
     what has expired is forgotten. State is one row per live key. Requests of
     one key are taken in order of `at` within a micro-batch.
+
+    A row leaves the state by itself once the watermark, the latest `at` less the
+    lateness, has passed its expiry: a timer is set for it, no request is needed.
+    Requests that come later than that aren't answered.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
         out = []
-        for r in pd.concat(list(frames)).sort_values(["at", "kind"], ascending=[True, False]).itertuples():
-            if held is not None and held[0] <= r.at:
-                held = None
-            if r.kind == "put":
-                held = (float(r.expires), r.payload)
-            else:
-                out.append((key[0], float(r.at), held is not None, held[1] if held else None))
-        if held is not None:
-            state.update(held)
-        elif state.exists:
+        if state.hasTimedOut:
             state.remove()
+        else:
+            held = state.get if state.exists else None
+            for r in pd.concat(list(frames)).sort_values(["at", "kind"], ascending=[True, False]).itertuples():
+                if held is not None and held[0] <= r.at:
+                    held = None
+                if r.kind == "put":
+                    held = (float(r.expires), r.payload)
+                else:
+                    out.append((key[0], float(r.at), held is not None, held[1] if held else None))
+            ends = math.ceil(held[0] * 1000) if held is not None else 0
+            if held is not None and ends > state.getCurrentWatermarkMs():
+                state.update(held)
+                state.setTimeoutTimestamp(ends)
+            elif state.exists:
+                state.remove()
         yield pd.DataFrame(out, columns=[x.split()[0] for x in ANSWER.split(", ")])
 
-    return requests.groupBy("key").applyInPandasWithState(run, ANSWER, "expires double, payload string", "append", GroupStateTimeout.NoTimeout)
+    timed = requests.withColumn("_time", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("_time", lateness)
+    return timed.groupBy("key").applyInPandasWithState(run, ANSWER, "expires double, payload string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def metrics_by_run(log: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
@@ -79,6 +90,37 @@ def shuffled_batches(stream: DataFrame, key: str, seed: int, path: str):
     return stream.writeStream.foreachBatch(write).trigger(availableNow=True)
 
 
+LAG = "batch long, rows long, files long, waiting long"
+
+
+def admitted(spark: SparkSession, source: str, schema: str, path: str, files_per_batch: int) -> DataFrame:
+    """Drain a folder of Parquet files into path, at most `files_per_batch` of them at
+    a time, and return LAG: what each batch took and how many files waited then.
+
+    A burst is spread over batches, each of which is committed with its row of the
+    log; a run that is stopped goes on where it was. Rows aren't dropped or held
+    in memory: what isn't admitted yet stays in the folder.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source).select("*", F.col("_metadata.file_path").alias("_file"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.drop("_file").write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        seen = batch.agg(F.lit(number).cast("long").alias("batch"), F.count("*").alias("rows"), F.count_distinct("_file").alias("files"))
+        seen.withColumn("listed", F.lit(_listed(spark, source)).cast("long")).write.mode("overwrite").parquet(f"{path}/log/of={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    log = spark.read.schema("batch long, rows long, files long, listed long").parquet(f"{path}/log")
+    done = F.sum("files").over(Window.orderBy("batch"))  # a row per batch
+    return log.select("batch", "rows", "files", (F.col("listed") - done).alias("waiting"))
+
+
+def _listed(spark: SparkSession, folder: str) -> int:
+    """Data files of a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sum(not s.getPath().getName().startswith(("_", ".")) for s in found)
+
+
 def written(spark: SparkSession, stream: DataFrame, mode: str, root: str) -> DataFrame:
     """Run a bounded stream to its end, into files (append) or, where results are
     a table of their own size (complete), into one overwritten table; read back."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow import cli
-from corpusflow.operators import articles, corpus, dialogue, evaluation, grounded, judge, preparation, rollouts, search, trajectories, validation
+from corpusflow.operators import articles, corpus, dialogue, evaluation, grounded, indexes, judge, preparation, rollouts, search, trajectories, validation
 from corpusflow.sources import fetch, files, jsonl
 from corpusflow.streaming import stateful
 
@@ -53,22 +53,6 @@ def test_whole_writes_survive_failures(spark, tmp_path):
     assert files.hashes(spark, str(tmp_path / "r.json")).first().sha256 == __import__("hashlib").sha256((tmp_path / "r.json").read_bytes()).hexdigest()
 
 
-def test_token_files(spark, tmp_path):
-    docs = spark.createDataFrame([(2, [5, 6]), (1, [1, 2, 65_000])], "doc_id long, ids array<int>")
-    path = str(tmp_path / "tokens")
-    manifest = files.write_tokens(docs, path, 65_535)
-    assert (manifest["dtype"], manifest["tokens"], manifest["documents"], manifest["bytes"]) == ("uint16", 5, 2, 10)
-    assert [r.ids for r in files.read_tokens(spark, path).orderBy("doc_id").collect()] == [[1, 2, 65_000], [5, 6]]
-    raw = str(tmp_path / "raw.bin")
-    assert files.export_tokens(spark, path, raw) == __import__("hashlib").sha256((tmp_path / "raw.bin").read_bytes()).hexdigest()
-    assert [r.token for r in files.read_raw_tokens(spark, raw, "uint16", 5).orderBy("position").collect()] == [1, 2, 65_000, 5, 6]
-    with pytest.raises(ValueError):
-        files.read_raw_tokens(spark, raw, "uint16", 4)
-    with pytest.raises(ValueError):
-        files.write_tokens(docs.where("false"), str(tmp_path / "none"), 100)
-    assert not (tmp_path / "none").exists()
-
-
 def test_index_is_built_whole(spark, tmp_path):
     docs = tmp_path / "docs.jsonl"
     texts = {"mars": "The red planet has the largest volcano.", "sea": "The deep sea holds strange fish."}
@@ -77,11 +61,32 @@ def test_index_is_built_whole(spark, tmp_path):
     assert cli.main(["build-index", "--input", str(docs), "--output", index], spark)["chunks"] == 2
     assert cli.main(["ask", "--index", index, "--query", "red planet volcano"], spark)["results"][0]["chunk_id"] == "mars:0"
     assert cli.main(["ask", "--index", index, "--query", "  "], spark)["results"] == []
+    assert cli.main(["ask", "--index", index, "--query", '+title:sea "strange fish" -volcano'], spark)["results"][0]["chunk_id"] == "sea:0"
     with pytest.raises(FileExistsError):
-        files.write_index(spark, {"chunks": spark.range(1)}, {}, index)
+        cli.main(["build-index", "--input", str(docs), "--output", index], spark)
+    (tmp_path / "none.jsonl").write_text("")
     with pytest.raises(ValueError):
-        files.write_index(spark, {"chunks": spark.range(0)}, {}, str(tmp_path / "empty"))
-    assert not (tmp_path / "empty").exists()
+        cli.main(["build-index", "--input", str(tmp_path / "none.jsonl"), "--output", str(tmp_path / "empty")], spark)
+    assert not list((tmp_path / "empty").glob("data-*"))
+
+
+def test_index_with_vectors(spark, tmp_path):
+    texts = [("a", "Red planet", "rust and dust"), ("b", "Deep sea", "strange fish live there"), ("c", "Old sea", "a dry bed")]
+    chunks = spark.createDataFrame([(k, t, "u", c) for k, t, c in texts], "chunk_id string, title string, url string, content string")
+    encoder = lambda s: s.map(lambda t: [1.0 + t.lower().count("sea"), float(len(t)), 1.0])
+    indexes.build(chunks, str(tmp_path / "i"), encoder, lists=2, parts=2)
+    index = indexes.Index(spark, str(tmp_path / "i"), encoder)
+    rows = index.search(spark.createDataFrame([(1, "sea"), (2, " ")], "query_id long, text string"), 3).orderBy("rank").collect()
+    assert {r.chunk_id for r in rows} == {"a", "b", "c"} and rows[0].score_components["dense"] > 0 and {r.query_id for r in rows} == {1}
+    assert index.manifest["dense"] and index.manifest["chunks"] == 3
+
+
+def test_benchmark_command(spark, tmp_path, monkeypatch):
+    (tmp_path / "e.jsonl").write_text('{"question": "q", "answer": "a", "supporting_ids": ["i"]}\n')
+    (tmp_path / "answerer_of_test.py").write_text("from pyspark.sql import functions as F\ndef answer(d):\n    none = F.array().cast('array<string>')\n    return d.withColumns({'prediction': F.lit('a [i]'), 'queries': none, 'tool_calls_total': F.lit(0), 'valid_tool_calls': F.lit(0), 'retrieved_ids': none, 'cited_ids': F.array(F.lit('i')), 'elapsed_seconds': F.lit(1.5)})\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    out = cli.main(["benchmark-grounded", "--input", str(tmp_path / "e.jsonl"), "--answerer", "answerer_of_test:answer", "--output", str(tmp_path / "o")], spark)
+    assert out["records"] == 2 and {r["search_mode"] for r in out["report"]} == {None, "off", "local"} and out["report"][0]["latency_p95_seconds"] == 1.5
 
 
 def test_commands(spark, tmp_path):
@@ -153,19 +158,30 @@ def test_fused_ties_keep_first_seen_order(spark):
         search.valid_vectors(spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "embedding array<double>")).collect()
 
 
-def test_inverted_file_recall(spark):
-    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    exact = search.dense_search(v, "vec_id")(q, 10)
-    found = search.Lists(v, "vec_id", lists=16).search(12)(q, 10)
-    assert search.recall(found, exact, "vec_id").first().recall >= 0.9
+def test_judge_output_faults(spark):
+    good = {"answer_correctness": 0.5, "evidence_support": 1, "search_quality": 0, "reason": "r" * 600}
+    text = json.dumps(good)
+    bad = {
+        None: "did not contain", "none": "did not contain", f"x {text}": "leading", f"{text} y": "trailing", f"{text} }}": "trailing", "{": "invalid JSON", "{bad} x": "invalid JSON", json.dumps(good | {"x": 1}): "schema", json.dumps({"a": {"b": "}"}}) + " z": "trailing",
+        json.dumps(good | {"search_quality": True}): "search_quality was not numeric", json.dumps(good | {"evidence_support": "1"}): "evidence_support was not numeric", json.dumps(good | {"search_quality": 1.1}): "search_quality was outside", json.dumps(good | {"evidence_support": -1e-9}): "outside",
+        json.dumps(good | {"reason": 1}): "not a string", json.dumps(good | {"reason": None}): "not a string", text.replace("0.5", "NaN"): "judge", text.replace("0.5", "1e999"): "judge",
+    }
+    fine = {f" \n{text}\t ": "r" * 500, json.dumps(good | {"reason": 'a "quoted\\" } brace {'}): 'a "quoted\\" } brace {'}
+    rows = spark.createDataFrame([(t,) for t in [*bad, *fine]], "t string").select("t", judge.judge_score(F.col("t")).alias("j"))
+    for r in rows.collect():
+        if r.t in fine:
+            assert tuple(r.j) == (0.5, 1.0, 0.0, True, fine[r.t])
+        else:
+            assert tuple(r.j)[:4] == (0.0, 0.0, 0.0, False) and bad[r.t] in r.j.reason, (r.t, r.j.reason)
 
 
-def test_judge_output_faults():
-    good = {"answer_correctness": 0.5, "evidence_support": 1, "search_quality": 0, "reason": "r" * 600}
-    assert judge.read_output(json.dumps(good)) == (0.5, 1.0, 0.0, True, "r" * 500)
-    for text in (None, "none", "x " + json.dumps(good), json.dumps(good) + " y", "{", json.dumps(good | {"x": 1}), json.dumps(good | {"search_quality": True}), json.dumps(good | {"search_quality": 1.1}), json.dumps(good | {"reason": 1}), json.dumps(good).replace("0.5", "NaN")):
-        assert judge.read_output(text)[3] is False and judge.read_output(text)[4]
+def test_code_runs_within_limits(tmp_path):
+    run = preparation.runs_clean
+    assert run("x = 1", "assert x == 1") and not run("x = 1", "assert x == 2") and not run("def f(:", "") and run(None, None)
+    assert not run("while True: pass", "", 0.5) and not run("x = bytearray(1 << 33)", "") and run("print('x' * 10**6)", "import sys; sys.exit(0)") and not run("", "raise SystemExit(3)")
+    mark = tmp_path / "mark"
+    late = f"import subprocess, sys; subprocess.Popen([sys.executable, '-c', 'import time; time.sleep(2); open({str(mark)!r}, \"w\")'])"
+    assert run(late, "") and (__import__("time").sleep(3), not mark.exists())[1]
 
 
 def test_judge_payload(spark):
@@ -199,6 +215,8 @@ def test_articles_and_shuffles(spark):
     rows = spark.createDataFrame([(1, None, "A b", None, "x" * 200), (2, "p/q", " ", None, "x" * 200), (3, "p/q", "C", "u", "y" * 200), (4, "z", "D", "u", "short")], "n int, id string, title string, url string, text string")
     got = articles.articles(rows, 2, "n").collect()
     assert [(r.id, r.url) for r in got] == [("wiki-0", "https://en.wikipedia.org/wiki/A_b"), ("wiki-p_q", "u")]
+    more = rows.union(spark.createDataFrame([(5, "", "E", "", "z" * 200)], rows.schema))
+    assert sorted(r.id for r in articles.articles(more, None, "n").collect()) == ["wiki-0", "wiki-2", "wiki-p_q"]
     first = [r.id for r in articles.shuffled(spark.range(100), "id", 1).collect()]
     assert first == [r.id for r in articles.shuffled(spark.range(100), "id", 1).collect()] != sorted(first) and sorted(first) == list(range(100))
 
@@ -221,7 +239,7 @@ def test_fetching_checks_every_hop():
     }
     get = lambda u: pages.get(u, fetch.Reply(404))
     public = lambda u: None if "10.0.0.1" in u else u
-    found = {u: fetch.fetched(u, get, public, {}, most=40) for u in ("https://a.org/", "https://loop.org/", "https://big.org/", "https://pdf.org/", "https://no.org/", "https://out.org/")}
+    found = {u: fetch.fetched(u, get, public, fetch.Robots(get, public), most=40) for u in ("https://a.org/", "https://loop.org/", "https://big.org/", "https://pdf.org/", "https://no.org/", "https://out.org/")}
     assert found.pop("https://a.org/") == "hi" and set(found.values()) == {None}
     waits, replies = [], iter([fetch.Reply(429, {"retry-after": "9"}), fetch.Reply(500), fetch.Reply(200)])
     assert fetch.with_retries(lambda: next(replies), 3, waits.append).status == 200 and waits == [4.0, 2.0]
@@ -248,3 +266,112 @@ def test_shuffled_stream_batches(spark, tmp_path):
     files.append_metrics(spark.range(1), str(tmp_path / "log"))
     files.append_metrics(spark.range(2), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 3
+
+
+def test_rounds_of_a_tool_loop_are_limited(spark):
+    good = '<|tool_call|>{"name":"search","arguments":{"query":"%s"}}<|end_tool_call|>'
+    turns = [good % "a", "<|tool_call|>bad<|end_tool_call|>", good % "b", good % "c", "<|tool_call|>bad<|end_tool_call|>", "late answer"]
+    rows = [(1, i, t, "local", 1, "ok") for i, t in enumerate(turns)] + [(2, 0, good % "STRASSE", "local", 3, "ok"), (2, 1, good % "straße", "local", 3, "ok"), (2, 2, "done", "local", 3, None)]
+    played = rollouts.history(spark.createDataFrame(rows, "request_id int, turn int, text string, mode string, max_searches int, outcome string"))
+    status = {(r.request_id, r.turn): r.status for r in played.collect()}
+    assert [status[1, i] for i in range(6)] == ["ok", "invalid", "search_limit", "search_limit", "invalid", "after_end"] and [status[2, i] for i in range(3)] == ["ok", "rejected", "answer"]
+    assert {r.request_id: r.finish_reason for r in rollouts.finish_reason(played).collect()} == {1: "search_limit", 2: "answer"}
+    assert {r.request_id: r.text for r in rollouts.final_text(played).collect()} == {1: rollouts.NO_ANSWER, 2: "done"}
+
+
+def test_rewards_are_finite_and_speed_is_kept(spark):
+    for odd in (math.nan, math.inf, None):
+        with pytest.raises(Exception, match="finite"):
+            evaluation.advantages(spark.createDataFrame([(1, 1.0), (1, odd)], "g int, reward double"), "g").collect()
+    log = spark.createDataFrame([("a", 1, 1, 10, 2.0, 7.5)], "run string, step int, reasoning_tokens long, tokens_seen long, loss double, tokens_per_second double")
+    assert evaluation.compared(log, "run", "step").first().runs[0].tokens_per_second == 7.5
+
+
+def test_whole_numbers_of_a_call(spark):
+    call = '<|tool_call|>{"name":"search","arguments":{"query":"q"%s}}<|end_tool_call|>'
+    want = {"": 5, ',"top_k":5.0': 5, ',"top_k":"7"': 7, ',"top_k":true': 1, ',"top_k":5.5': None, ',"top_k":"x"': None, ',"top_k":null': None, ',"top_k":false': None, ',"top_k":11': None, ',"top_k":[1]': None}
+    rows = spark.createDataFrame([(k, call % k) for k in want], "k string, t string").select("k", dialogue.tool_call(F.col("t"))["top_k"].alias("n"))
+    assert {r.k: r.n for r in rows.collect()} == want
+
+
+def test_exact_percentiles_against_sorting(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    data = [("a", float(x)) for x in r.normal(size=3000)] + [("b", float(x)) for x in r.integers(0, 3, 500)] + [("c", 4.0), (None, 1.0), (None, 2.0), ("d", None)]
+    got = {x.k: x for x in evaluation.percentiles(spark.createDataFrame(data, "k string, v double"), "v", "k", lo=0.0, p50=0.5, p95=0.95, hi=1.0).collect()}
+    for k in ("a", "b", "c", None):
+        values = [v for g, v in data if g == k]
+        assert [got[k].lo, got[k].p50, got[k].p95, got[k].hi] == pytest.approx(list(np.quantile(values, [0, 0.5, 0.95, 1]))) and got[k].n == len(values)
+    assert (got["d"].n, got["d"].p50) == (1, 0.0)
+
+
+def test_parts_of_a_page_beyond_its_limit_are_not_read():
+    read = []
+    body = (read.append(i) or b"x" * 10 for i in range(100))
+    page = fetch.Reply(200, {"content-type": "text/plain"}, body)
+    assert fetch.page_of(page, 25) is None and len(read) == 3
+    assert fetch.page_of(fetch.Reply(200, {"content-type": "text/plain; charset=latin-1"}, [b"caf", b"\xe9"])) == "café"
+
+
+def test_cached_rows_go_without_requests(spark, tmp_path):
+    schema = "key string, at double, kind string, expires double, payload string"
+    source = str(tmp_path / "in")
+    spark.createDataFrame([("a", 0.0, "put", 50.0, "x"), ("b", 0.0, "put", 1e9, "y"), ("a", 10.0, "get", None, None)], schema).coalesce(1).write.parquet(source)
+    stream = lambda: stateful.cache(spark.readStream.schema(schema).parquet(source), "1 second").writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start().awaitTermination()
+    keys = lambda: {r.key.key for r in spark.read.format("statestore").load(str(tmp_path / "c")).select("key").collect()}
+    stream()
+    assert keys() == {"a", "b"}
+    spark.createDataFrame([("c", 100.0, "get", None, None)], schema).coalesce(1).write.mode("append").parquet(source)
+    stream()
+    assert keys() == {"b"}
+    assert {(r.key, r.hit) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", True), ("c", False)}
+
+
+def test_a_burst_is_spread_over_batches(spark, tmp_path):
+    spark.range(0, 700, 1, 7).write.parquet(str(tmp_path / "in"))
+    run = lambda: sorted(map(tuple, stateful.admitted(spark, str(tmp_path / "in"), "id long", str(tmp_path / "w"), 3).collect()))
+    assert run() == [(0, 300, 3, 4), (1, 300, 3, 1), (2, 100, 1, 0)]
+    spark.range(700, 1000, 1, 4).write.mode("append").parquet(str(tmp_path / "in"))
+    assert [x[2:] for x in run()][3:] == [(3, 1), (1, 0)]
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "w" / "out")).collect()) == list(range(1000))
+
+
+PAGES = """
+import json, os, urllib.parse
+from corpusflow.sources.fetch import Reply
+def get(url):
+    q = dict(urllib.parse.parse_qsl(urllib.parse.urlsplit(url).query))
+    folder = urllib.parse.urlsplit(url).path
+    n, first, length = int(open(folder + "/total").read()), int(q["offset"]), int(q["length"])
+    mark = f"{folder}/seen-{first}-{length}"
+    if first % 20 == 10 and not os.path.exists(mark):
+        open(mark, "w").close()
+        return Reply(429, {"retry-after": "0"})
+    rows = [{"i": i, "text": f"row {i}"} for i in range(first, min(n, first + length))]
+    return Reply(200, {}, json.dumps({"rows": rows, "total": n}).encode())
+"""
+
+
+def test_paged_source(spark, tmp_path, monkeypatch):
+    from corpusflow.sources.paged import PagedSource
+
+    (tmp_path / "pages_of_test.py").write_text(PAGES)
+    (tmp_path / "total").write_text("95")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setenv("PYTHONPATH", f"{tmp_path}:{__import__('os').environ.get('PYTHONPATH', '')}")
+    spark.sparkContext.addPyFile(str(tmp_path / "pages_of_test.py"))
+    spark.dataSource.register(PagedSource)
+    options = {"transport": "pages_of_test:get", "page": 10, "pages_per_task": 3}
+    rows = spark.read.format("paged").options(**options).schema("i long, text string").load(str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 4 and sorted((r.i, r.text) for r in rows.collect()) == [(i, f"row {i}") for i in range(95)]
+    stream = spark.readStream.format("paged").options(**options).schema("i long").load(str(tmp_path))
+
+    def run():
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    run()
+    (tmp_path / "total").write_text("123")
+    run()
+    assert sorted(r.i for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(123))
