@@ -42,10 +42,13 @@ def percentiles(rows: DataFrame, value: str, by: str, **quantiles: float) -> Dat
     edge = lambda i, q, side: F.col("_least") if edges[i] == 0.0 else F.col("_most") if edges[i] == 1.0 else F.col("_e")[i]
     wanted = F.array(*[F.struct(F.lit(k).alias("name"), ((F.col("_k") - 1) * F.lit(float(q))).alias("place"), edge(2 * i, q, 0).alias("lo"), edge(2 * i + 1, q, 1).alias("hi")) for i, (k, q) in enumerate(quantiles.items())])
     brackets = drawn.where("_k > 0").select(F.col(by).alias("_by"), F.explode(wanted).alias("w")).select("_by", "w.*")
-    met = some.where("_v IS NOT NULL").join(brackets, F.col(by).eqNullSafe(F.col("_by"))).where("_v <= hi")
-    counts = met.groupBy("_by", "name", "place", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("_by", "name").orderBy(F.col("_v").asc_nulls_first())))
-    found = upto.groupBy("_by", "name", "place").agg(F.min(F.when(F.col("upto") > F.floor("place"), F.col("_v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("place"), F.col("_v"))).alias("b"))
+    met = some.where("_v IS NOT NULL").join(brackets, F.col(by).eqNullSafe(F.col("_by")))
+    side = F.when(F.col("_v") < F.col("lo"), -1).when(F.col("_v") > F.col("hi"), 1).otherwise(0)
+    counts = met.groupBy("_by", "name", "place", side.alias("side"), F.when(side == 0, F.col("_v")).alias("_in")).agg(F.count("*").alias("c"), F.min("_v").alias("first"), F.max("_v").alias("last"))
+    # With few values a place may be the last below the bracket or the first above it.
+    counts = counts.withColumn("x", F.when(F.col("side") < 0, F.col("last")).otherwise(F.col("first")))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("_by", "name").orderBy("side", "_in")))
+    found = upto.groupBy("_by", "name", "place").agg(F.min(F.when(F.col("upto") > F.floor("place"), F.col("x"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("place"), F.col("x"))).alias("b"))
     between = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place")))
     wide = found.groupBy("_by").agg(*[F.max(F.when(F.col("name") == k, between)).alias(k) for k in names])
     return drawn.select(by, "n").join(wide, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in names])

@@ -180,7 +180,8 @@ def test_code_runs_within_limits(tmp_path):
     assert run("x = 1", "assert x == 1") and not run("x = 1", "assert x == 2") and not run("def f(:", "") and run(None, None)
     assert not run("while True: pass", "", 0.5) and not run("x = bytearray(1 << 33)", "") and run("print('x' * 10**6)", "import sys; sys.exit(0)") and not run("", "raise SystemExit(3)")
     mark = tmp_path / "mark"
-    late = f"import subprocess, sys; subprocess.Popen([sys.executable, '-c', 'import time; time.sleep(2); open({str(mark)!r}, \"w\")'])"
+    later = f"import time; time.sleep(2); open({str(mark)!r}, 'w')"
+    late = f"import subprocess, sys; subprocess.Popen([sys.executable, '-c', {later!r}])"
     assert run(late, "") and (__import__("time").sleep(3), not mark.exists())[1]
 
 
@@ -317,12 +318,12 @@ def test_parts_of_a_page_beyond_its_limit_are_not_read():
 def test_cached_rows_go_without_requests(spark, tmp_path):
     schema = "key string, at double, kind string, expires double, payload string"
     source = str(tmp_path / "in")
-    spark.createDataFrame([("a", 0.0, "put", 50.0, "x"), ("b", 0.0, "put", 1e9, "y"), ("a", 10.0, "get", None, None)], schema).coalesce(1).write.parquet(source)
+    spark.createDataFrame([("a", 1000.0, "put", 1050.0, "x"), ("b", 1000.0, "put", 1e9, "y"), ("a", 1010.0, "get", None, None)], schema).coalesce(1).write.parquet(source)
     stream = lambda: stateful.cache(spark.readStream.schema(schema).parquet(source), "1 second").writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start().awaitTermination()
     keys = lambda: {r.key.key for r in spark.read.format("statestore").load(str(tmp_path / "c")).select("key").collect()}
     stream()
     assert keys() == {"a", "b"}
-    spark.createDataFrame([("c", 100.0, "get", None, None)], schema).coalesce(1).write.mode("append").parquet(source)
+    spark.createDataFrame([("c", 1100.0, "get", None, None)], schema).coalesce(1).write.mode("append").parquet(source)
     stream()
     assert keys() == {"b"}
     assert {(r.key, r.hit) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", True), ("c", False)}
@@ -337,32 +338,12 @@ def test_a_burst_is_spread_over_batches(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "w" / "out")).collect()) == list(range(1000))
 
 
-PAGES = """
-import json, os, urllib.parse
-from corpusflow.sources.fetch import Reply
-def get(url):
-    q = dict(urllib.parse.parse_qsl(urllib.parse.urlsplit(url).query))
-    folder = urllib.parse.urlsplit(url).path
-    n, first, length = int(open(folder + "/total").read()), int(q["offset"]), int(q["length"])
-    mark = f"{folder}/seen-{first}-{length}"
-    if first % 20 == 10 and not os.path.exists(mark):
-        open(mark, "w").close()
-        return Reply(429, {"retry-after": "0"})
-    rows = [{"i": i, "text": f"row {i}"} for i in range(first, min(n, first + length))]
-    return Reply(200, {}, json.dumps({"rows": rows, "total": n}).encode())
-"""
-
-
-def test_paged_source(spark, tmp_path, monkeypatch):
+def test_paged_source(spark, tmp_path):
     from corpusflow.sources.paged import PagedSource
 
-    (tmp_path / "pages_of_test.py").write_text(PAGES)
     (tmp_path / "total").write_text("95")
-    monkeypatch.syspath_prepend(str(tmp_path))
-    monkeypatch.setenv("PYTHONPATH", f"{tmp_path}:{__import__('os').environ.get('PYTHONPATH', '')}")
-    spark.sparkContext.addPyFile(str(tmp_path / "pages_of_test.py"))
     spark.dataSource.register(PagedSource)
-    options = {"transport": "pages_of_test:get", "page": 10, "pages_per_task": 3}
+    options = {"transport": "tests.paged_transport:get", "page": 10, "pages_per_task": 3}
     rows = spark.read.format("paged").options(**options).schema("i long, text string").load(str(tmp_path))
     assert rows.rdd.getNumPartitions() == 4 and sorted((r.i, r.text) for r in rows.collect()) == [(i, f"row {i}") for i in range(95)]
     stream = spark.readStream.format("paged").options(**options).schema("i long").load(str(tmp_path))
