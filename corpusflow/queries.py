@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import corpus, dialogue, evaluation, preparation, quality, retrieval, schedules, vectors, web
 from .plans import stage
+from .plans.prefix import running_sum
 from .registry import ORACLE_SQL, QUERIES, query, table
 from .streaming import corpus_stream, stateful
 
@@ -94,13 +95,21 @@ def token_cap_truncation(spark, sf_dir):
     return corpus.token_cap(docs, 50_000)
 
 
-MIX = "c AS (SELECT i, i * 97 AS start, 97 AS size FROM range(0, 103) t(i)), m AS (SELECT i, start, size, (round_even((start + size) * 7000.0 / 10000, 0) - round_even(start * 7000.0 / 10000, 0))::BIGINT AS reasoning FROM c)"
+# Words of each document, and of all up to it, in order of ids.
+WORDS_UPTO = r"w AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents), u AS (SELECT *, sum(n) OVER (ORDER BY doc_id) AS upto, sum(n) OVER () AS total FROM w)"
 
 
-@query(f"WITH {MIX} SELECT i::BIGINT AS i, start::BIGINT AS start, size::BIGINT AS size, reasoning, size - reasoning AS general FROM m")
+def _words_upto(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n"))
+    return running_sum(docs, "doc_id", "n", "upto")
+
+
+@query(f"WITH {WORDS_UPTO}, m AS (SELECT *, round_even(total::DOUBLE * 0.7, 0) AS quota FROM u), k AS (SELECT doc_id, upto - n AS start, n AS size, (round_even(upto::DOUBLE * quota / total, 0) - round_even((upto - n)::DOUBLE * quota / total, 0))::BIGINT AS reasoning FROM m) SELECT doc_id, start::BIGINT AS start, size, reasoning, size - reasoning AS general FROM k")
 def mixture_schedule(spark, sf_dir):
-    chunks = spark.range(103).select(F.col("id").alias("i"), (F.col("id") * 97).alias("start"), F.lit(97).cast("long").alias("size"))
-    return corpus.mixture_schedule(chunks, 10_000, 0.7)
+    """The documents' words as chunks of a mixture of as many tokens."""
+    chunks = _words_upto(spark, sf_dir)
+    total = chunks.agg(F.max("upto")).first()[0] or 1
+    return corpus.mixture_schedule(chunks.select("doc_id", (F.col("upto") - F.col("n")).alias("start"), F.col("n").alias("size")), total, 0.7)
 
 
 @query("SELECT position // 8 AS sequence, string_agg(token::VARCHAR, ',' ORDER BY position) AS tokens FROM (SELECT event_id AS position, user_id AS token FROM events) GROUP BY 1 HAVING count(*) = 8")
@@ -109,9 +118,13 @@ def packed_sequences(spark, sf_dir):
     return corpus.packed(tokens, 8).select("sequence", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
 
 
-@query("SELECT v, CASE WHEN v <= 65535 THEN 'uint16' ELSE 'uint32' END AS dtype FROM (VALUES (1::BIGINT), (65535), (65536), (50304)) t(v)")
+@query(r"""WITH w AS (SELECT source, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM documents), n AS (SELECT source, count(DISTINCT word) AS v, count(*) AS most FROM w GROUP BY source)
+SELECT source, v, CASE WHEN v <= 65535 THEN 'uint16' ELSE 'uint32' END AS dtype, most, CASE WHEN most <= 65535 THEN 'uint16' ELSE 'uint32' END AS widest FROM n""")
 def token_dtype(spark, sf_dir):
-    return spark.createDataFrame([(1,), (65_535,), (65_536,), (50_304,)], "v long").select("v", corpus.token_dtype(F.col("v")).alias("dtype"))
+    """The type that ids of a source's distinct words need, or of all its words."""
+    words = table(spark, sf_dir, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("word"))
+    per = words.groupBy("source", "word").agg(F.count("*").alias("n")).groupBy("source").agg(F.count("*").alias("v"), F.sum("n").alias("most"))
+    return per.select("source", "v", corpus.token_dtype(F.col("v")).alias("dtype"), "most", corpus.token_dtype(F.col("most")).alias("widest"))
 
 
 ARTICLE = r"regexp_replace(%s, '(^|[^\p{L}\p{N}_])(a|an|the)([^\p{L}\p{N}_]|$)', '\1 \3', 'g')"
@@ -308,20 +321,37 @@ def reward_components(spark, sf_dir):
     return parts.select("event_id", F.round(evaluation.reward(parts), 6).alias("reward"))
 
 
-@query("SELECT t, round(CASE WHEN t < 1000 THEN 0.0006 * t / 1000.0 ELSE 0.00006 + 0.00054 * 0.5 * (1 + cos(pi() * least(greatest((t - 1000) / 9000.0, 0), 1))) END, 9) AS rate FROM (SELECT range * 250 AS t FROM range(0, 50))")
+@query(f"WITH {WORDS_UPTO} SELECT doc_id, upto::BIGINT AS tokens, round(CASE WHEN upto < 10000 THEN 0.0006 * upto / 10000.0 ELSE 0.00006 + 0.00054 * 0.5 * (1 + cos(pi() * least(greatest((upto - 10000) / 290000.0, 0), 1))) END, 9) AS rate FROM u")
 def lr_schedule(spark, sf_dir):
-    return spark.range(50).select((F.col("id") * 250).alias("t")).select("t", F.round(schedules.cosine_rate(F.col("t"), 0.0006, 0.00006, 1000, 10_000), 9).alias("rate"))
+    """The rate after each document, by the words seen."""
+    return _words_upto(spark, sf_dir).select("doc_id", F.col("upto").alias("tokens"), F.round(schedules.cosine_rate(F.col("upto"), 0.0006, 0.00006, 10_000, 300_000), 9).alias("rate"))
+
+
+def _runs(spark, sf_dir):
+    """Users as runs: events seen, events in eight seconds, seconds between the first and last."""
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(i).alias("seen"), F.count("*").alias("events"), (F.max(i) - F.min(i)).alias("seconds"))
 
 
-@query("SELECT i, greatest(least(2500000, i * 1000 + floor(123.5 * i))::BIGINT // 262144 * 262144, 262144)::BIGINT AS budget FROM (SELECT range AS i FROM range(0, 4000, 100))")
+RUNS = "r AS (SELECT user_id, sum(event_id)::BIGINT AS seen, count(*) AS events, max(event_id) - min(event_id) AS seconds FROM events GROUP BY user_id)"
+
+
+@query(f"WITH {RUNS} SELECT user_id, greatest(least(2500000, seen + floor(events / 8.0 * seconds))::BIGINT // 4096 * 4096, 4096)::BIGINT AS budget FROM r")
 def token_budget(spark, sf_dir):
-    i = F.col("id")
-    return spark.range(0, 4000, 100).select(i.alias("i"), schedules.projected_budget(i * 1000, F.lit(123.5), i, 2_500_000, 262_144).alias("budget"))
+    return _runs(spark, sf_dir).select("user_id", schedules.projected_budget(F.col("seen"), F.col("events") / 8.0, F.col("seconds"), 2_500_000, 4096).alias("budget"))
 
 
-@query("SELECT i, round(6 * 350000000.0 * i / 989e12, 9) AS mfu FROM (SELECT range AS i FROM range(0, 100000, 10000))")
+@query(f"WITH {RUNS} SELECT user_id, round(6 * 350000000.0 * (events * 1000) / 989e12, 9) AS mfu FROM r")
 def mfu(spark, sf_dir):
-    return spark.range(0, 100_000, 10_000).select(F.col("id").alias("i"), F.round(schedules.utilisation(F.lit(350_000_000.0), F.col("id"), 989.0), 9).alias("mfu"))
+    return _runs(spark, sf_dir).select("user_id", F.round(schedules.utilisation(F.lit(350_000_000.0), F.col("events") * 1000, 989.0), 9).alias("mfu"))
+
+
+@query(f"WITH {RUNS} SELECT sum(events / 16.0)::DOUBLE AS scheduled_hours, sum(events / 16.0)::DOUBLE + 5.5 AS planned_hours, sum(2048 * events * 32)::BIGINT AS tokens_per_step FROM r")
+def planned_hours(spark, sf_dir):
+    """Hours and tokens of a step of all users' runs, sixteen events being an hour."""
+    runs = _runs(spark, sf_dir).withColumn("time_budget_hours", F.col("events") / 16.0)
+    steps = runs.agg(F.sum(schedules.tokens_per_step(F.lit(2048).cast("long"), F.col("events"), F.lit(32))).alias("tokens_per_step"))
+    return schedules.scheduled_hours(runs).join(F.broadcast(steps))  # one row each
 
 
 def _stream(spark, sf_dir, name):

@@ -196,11 +196,6 @@ def warmup_factor(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("t"), F.round(schedules.warmup_factor(F.col("event_id"), 1000, 100), 9).alias("factor"))
 
 
-@query("SELECT 18.5::DOUBLE AS scheduled_hours, 24.0::DOUBLE AS planned_hours, 262144::BIGINT AS tokens_per_step")
-def planned_hours(spark, sf_dir):
-    return schedules.scheduled_hours(schedules.scheduled_runs(spark)).withColumn("tokens_per_step", schedules.tokens_per_step(F.lit(2048).cast("long"), F.lit(4), F.lit(32)))
-
-
 @query("""WITH r AS (SELECT user_id, max(event_id) AS e FROM events GROUP BY 1), l AS (SELECT user_id, (e % 100) / greatest(1, e % 1000) AS ratio, e % 1000 AS seen FROM r)
 SELECT string_agg(user_id::VARCHAR, ',' ORDER BY ratio, user_id) AS runs, count(DISTINCT seen) = 1 AS equal_token_budget, max(seen) - min(seen) AS token_budget_spread FROM l""")
 def compared_runs(spark, sf_dir):
