@@ -7,11 +7,18 @@ next one where the edit removes the space between them: these are encoded
 anew, and the sums on the path to the root are updated. Trees are kept in a
 table as the counts of their leaves and are updated from there; leaves that
 grow long are cut again.
+
+A long run without white space is cut at the ends of its pre-tokens, and a long
+pre-token where one of its tokens ends. A part of a sequence of BPE tokens is
+the encoding of its own text, and a sequence is one if each pair of neighbours
+is: so an edit in such a run takes in a leaf on either side as context, and
+more of them until the outermost token on that side is the one it was.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from itertools import accumulate
 
 import pyarrow as pa
@@ -21,12 +28,29 @@ from pyspark.sql import functions as F
 from .common import map_arrow, read_table, staged
 from .word_bpe import WordBpe, opened, vocabulary_path
 
-#: Characters that a leaf has at least, but for the last.
-LEAF = 256
+#: Characters that a leaf has at least, but for the last, and one in a run without
+#: white space.
+LEAF, INNER = 256, 128
 SPACES = " \t\n\x0b\x0c\r"
 _CUT = re.compile(rf"(?s).{{{LEAF - 1}}}[^{SPACES}]*[{SPACES}]+|.+")
 
 
+def _kind(c: str) -> str:
+    """L, N or another class, as the pre-tokenizer sees a character."""
+    k = unicodedata.category(c)[0]
+    return k if k in "LN" else "O"
+
+
+def apart(left: str, right: str) -> bool:
+    """Whether a pre-token surely ends between two neighbouring characters."""
+    if left in SPACES or right in SPACES:
+        return True
+    if ord(right) > 0x2FF and unicodedata.category(right)[0] == "M" or left == "'":
+        return False  # it may be composed with what stands before; 's and the like
+    a, b = _kind(left), _kind(right)
+    return a != b or a == "N"
+
+
 class SegmentTree:
     """Sums over leaves in a heap: node i has the children 2i and 2i + 1."""
 
@@ -36,8 +60,8 @@ class SegmentTree:
         self.bpe = bpe
         self.recounted = 0
         if counts is None:
-            leaves = _CUT.findall(text) or [""]
-            tokens = [self._count(x) for x in leaves]
+            leaves = self._cut(text) or [""]
+            tokens = self._count_each(leaves, False)
         else:
             ends = list(accumulate(n for n, _ in counts))
             leaves = [text[e - n : e] for e, (n, _) in zip(ends, counts, strict=True)]
@@ -45,6 +69,62 @@ class SegmentTree:
         self._build(leaves, tokens)
         self.recounted = 0
 
+    def _cut(self, text: str) -> list[str]:
+        out = []
+        for x in _CUT.findall(text):
+            out += self._cut_run(x) if len(x) > 2 * LEAF else [x]
+        return out
+
+    def _cut_run(self, chunk: str) -> list[str]:
+        """The leaves of a chunk whose last word is long."""
+        head = max(map(chunk.rstrip(SPACES).rfind, SPACES)) + 1
+        run = chunk[head:].rstrip(SPACES)
+        normal = self.bpe.tokenizer.normalizer.normalize_str(run)
+        whole = self.bpe.pretokens(run)
+        if len(normal) != len(run) or "".join(whole) != normal or any(x in run for x in self.bpe.special):
+            return [chunk]  # places in the run can't be told from those of its tokens
+        bounds, at = [], 0
+        for p in whole:
+            if len(p) > INNER:
+                done, seen = b"", at
+                for i in self.bpe.encode_long(p)[:-1]:
+                    done += self.bpe.bytes_of(i)
+                    try:
+                        seen, done = seen + len(done.decode()), b""
+                    except UnicodeDecodeError:
+                        continue  # a token ends within a character
+                    if normal[seen] != "'":  # 's and the like would begin there
+                        bounds.append(seen)
+            at += len(p)
+            if at < len(run) and apart(run[at - 1], run[at]):
+                bounds.append(at)
+        cuts, last = [], 0
+        for b in bounds:
+            normalised = self.bpe.tokenizer.normalizer.normalize_str
+            if b - last >= INNER and b < len(run) and normalised(run[last:b]) == normal[last:b] and normalised(run[b:]) == normal[b:]:
+                cuts.append(b)
+                last = b
+        places = [0, *(head + c for c in cuts), len(chunk)]
+        return [chunk[i:j] for i, j in zip(places, places[1:])]
+
+    def _ids(self, text: str, goes_on: bool) -> list[int]:
+        """Ids of a text whose last pre-token ends with it, or goes on behind it."""
+        self.recounted += len(text)
+        if not goes_on or not text:
+            return list(self.bpe.encode(text))
+        head = max(map(text.rfind, SPACES)) + 1
+        for x in self.bpe.special:
+            head = max(head, (text.rfind(x) + len(x)) if x in text else 0)
+        pre = self.bpe.pretokens(text[head:])
+        if not pre:
+            return list(self.bpe.encode(text))
+        before = [i for x in (text[:head], *pre[:-1]) for i in self.bpe.encode(x)]
+        return before + list(self.bpe.inner.encode(pre[-1], add_special_tokens=False).ids)
+
+    def _count_each(self, leaves: list[str], goes_on: bool) -> list[int]:
+        """Tokens of neighbouring leaves; goes_on: of the last one behind it."""
+        return [len(self._ids(x, not apart(x[-1], y[0]) if x and y else goes_on and not y)) for x, y in zip(leaves, [*leaves[1:], ""], strict=True)]
+
     def _build(self, leaves: list[str], tokens: list[int]) -> None:
         self.size = 1 << (len(leaves) - 1).bit_length()
         more = self.size - len(leaves)
@@ -62,10 +142,6 @@ class SegmentTree:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
         self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
-    def _count(self, leaf: str) -> int:
-        self.recounted += len(leaf)
-        return len(self.bpe.encode_bytes(leaf)) // 4
-
     def _find(self, at: int) -> tuple[int, int]:
         """The leaf with character `at` (the last one beyond the end), and
         where in it."""
@@ -77,6 +153,13 @@ class SegmentTree:
                 i += 1
         return i - self.size, at
 
+    def _beside(self, i: int, step: int) -> int:
+        """The next leaf from i that isn't empty; -1 or the number of leaves if none."""
+        i += step
+        while 0 <= i < len(self.leaves) and not self.leaves[i]:
+            i += step
+        return i
+
     def edit(self, start: int, stop: int, text: str) -> None:
         """Replace the characters start..stop by text."""
         total = self.chars[1]
@@ -84,15 +167,22 @@ class SegmentTree:
         first, a = self._find(start)
         last, b = self._find(stop)
         joined = self.leaves[first][:a] + text + self.leaves[last][b:]
-        while last + 1 < self.size and joined and joined[-1] not in SPACES:
-            last += 1
-            joined += self.leaves[last]
-        while first > 0 and not self.leaves[first - 1].endswith(tuple(SPACES)):
-            first -= 1
-            joined = self.leaves[first] + joined
+        left = right = False  # whether a leaf was taken in on that side
+        while True:
+            p, n = self._beside(first, -1), self._beside(last, 1)
+            inner = [p >= 0 and (not joined or not apart(self.leaves[p][-1], joined[0])), n < len(self.leaves) and (not joined or not apart(joined[-1], self.leaves[n][0]))]
+            own = self._ids(joined, inner[1]) if left and inner[0] or right and inner[1] else []
+            more_left = inner[0] and not (left and own[:1] == self._ids(self.leaves[first], True)[:1] != [])
+            more_right = inner[1] and not (right and own[-1:] == self._ids(self.leaves[last], True)[-1:] != [])
+            if more_left:
+                first, joined, left = p, self.leaves[p] + joined, True
+            if more_right:
+                last, joined, right = n, joined + self.leaves[n], True
+            if not more_left and not more_right:
+                break
         # What has grown long is cut again, so that leaves stay short.
-        pieces = _CUT.findall(joined) if len(joined) > 4 * LEAF else [joined]
-        tokens = [self._count(x) for x in pieces]
+        pieces = self._cut(joined) if len(joined) > 2 * LEAF else [joined]
+        tokens = self._count_each(pieces, inner[1])
         room = last + 1 - first
         if len(pieces) > room:  # no leaf is free here: new sums, no new encoding
             old = self.tokens[self.size :]

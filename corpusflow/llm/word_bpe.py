@@ -144,6 +144,10 @@ class WordBpe:
             parts = [self._concatenate(parts[i], parts[i + 1], i >= last) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0]
 
+    def bytes_of(self, token: int) -> bytes:
+        """What a token stands for."""
+        return bytes(map(self._bytes_of.__getitem__, self.tokens[token].removesuffix("</w>")))
+
     def _symbols(self, ids: Iterable[int]) -> bytes:
         return bytes(map(self._bytes_of.__getitem__, chain.from_iterable(self.tokens[i].removesuffix("</w>") for i in ids)))
 
