@@ -48,6 +48,14 @@ def shingles(c: Column, n: int) -> Column:
     )[0]
 
 
+def shingle_hashes(c: Column, n: int) -> Column:
+    """A 64-bit number for each place of an n-word shingle; equal shingles have
+    equal numbers."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+    runs = lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, n)))
+    return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), lambda h: F.when(F.size(h) < n, F.array().cast("array<long>")).otherwise(runs(h)))[0]
+
+
 def tag(c: Column, name: str) -> Column:
     """The trimmed content of the first <name> element; null if none or empty."""
     return F.nullif(stripped(F.regexp_extract(c, rf"(?is)<{name}>(.*?)</{name}>", 1)), F.lit(""))

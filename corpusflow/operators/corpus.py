@@ -11,13 +11,13 @@ from ..plans.prefix import running_sum
 
 def contaminated_pairs(docs: DataFrame, prompts: DataFrame, n: int = 8, threshold: float = 0.5) -> DataFrame:
     """doc_id, item_id, overlap of documents that share at least `threshold` of
-    the shingles of the shorter side. Documents' shingles go as 64-bit hashes
-    into a join with those of the prompts; only documents with a hit keep their
-    texts for the exact count. Spark broadcasts the prompts' side while it is
-    below its size limit, and splits skewed partitions beyond."""
-    hashed = lambda c: F.transform(X.shingles(c, n), lambda s: F.xxhash64(s))
-    known = prompts.select(F.explode(hashed(F.col("text"))).alias("h")).distinct()
-    met = docs.select("doc_id", F.explode(hashed(F.col("text"))).alias("h")).join(known, "h", "left_semi").select("doc_id").distinct()
+    the shingles of the shorter side. Each word is hashed once and each run of n
+    hashes again; these numbers go into a join with the prompts'. Only documents
+    with a hit make strings of their shingles, for the exact count. Spark
+    broadcasts the prompts' side while it is below its size limit, and splits
+    skewed partitions beyond."""
+    known = prompts.select(F.explode(X.shingle_hashes(F.col("text"), n)).alias("h")).distinct()
+    met = docs.select("doc_id", F.explode(X.shingle_hashes(F.col("text"), n)).alias("h")).join(known, "h", "left_semi").select("doc_id").distinct()
     d = docs.join(met, "doc_id", "left_semi").select("doc_id", X.shingles(F.col("text"), n).alias("x")).select("doc_id", F.size("x").alias("nd"), F.explode("x").alias("s"))
     p = prompts.select("item_id", X.shingles(F.col("text"), n).alias("x")).select("item_id", F.size("x").alias("np"), F.explode("x").alias("s"))
     hit = d.join(p, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("k"), F.first("nd").alias("nd"), F.first("np").alias("np"))

@@ -40,7 +40,7 @@ def _calls(spark, sf_dir):
     return rows.select("conv_id", "turn", F.when(kind == 4, F.concat(call, call)).otherwise(call).alias("t"))
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN ok THEN q END AS query, CASE WHEN ok THEN k END AS top_k FROM (SELECT conv_id, turn, ((conv_id + turn) % 13)::INT AS k, {COLLAPSE % LETTERS} AS q, conv_id % 6 IN (0, 5) AND (conv_id + turn) % 13 BETWEEN 1 AND 10 AND length({COLLAPSE % LETTERS}) > 0 AS ok FROM conversations)")
+@query(f"SELECT conv_id, turn, CASE WHEN ok THEN q END AS query, CASE WHEN ok THEN k END AS top_k FROM (SELECT conv_id, turn, ((conv_id + turn) % 13)::INT AS k, {COLLAPSE % LETTERS} AS q, conv_id % 6 IN (0, 5) AND (conv_id + turn) % 13 BETWEEN 1 AND 10 AND length({COLLAPSE % LETTERS}) BETWEEN 1 AND 500 AS ok FROM conversations)")
 def tool_call_parse(spark, sf_dir):
     return _calls(spark, sf_dir).select("conv_id", "turn", dialogue.tool_call(F.col("t")).alias("c")).select("conv_id", "turn", "c.query", "c.top_k")
 
