@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import re
 
 import numpy as np
@@ -19,8 +20,8 @@ OTHER, ROLE_END, TURN_END = "### Role:", "</role>", "</turn>"
 CONTROLS = (*HEADS.values(), OTHER, ROLE_END, TURN_END)
 #: The role whose texts are learned.
 LEARNED = "assistant"
-#: A byte-level vocabulary: what it encodes, it decodes exactly.
-VOCABULARY = "byte_bpe_50k.json"
+#: A byte-level vocabulary, as ranks of byte strings: what it encodes, it decodes exactly.
+VOCABULARY = "byte_bpe_50k.tiktoken"
 _MARKED = "|".join(re.escape(x) for x in ("\\", *CONTROLS))
 
 
@@ -46,15 +47,15 @@ _OPEN: dict[str, tuple] = {}
 
 
 def opened(path: str) -> tuple:
-    """The tokenizer of this worker and the id of the first control string."""
+    """The tokenizer of this worker and the id of the first control string. It knows
+    no special tokens: their strings are text."""
     if path not in _OPEN:
-        from tokenizers import Tokenizer
+        import public_tokenizers
+        import tiktoken
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # strings of its own special tokens are text
-        t.no_truncation()
-        t.no_padding()
-        _OPEN[path] = (t, t.get_vocab_size())
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        _OPEN[path] = (tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1)
     return _OPEN[path]
 
 
@@ -70,9 +71,8 @@ def turns(tokenizer, first: int, roles: list[str], texts: list[str], spelt: list
     heads = list(HEADS)
     own = np.array([heads.index(r) if r in HEADS else -1 for r in roles], "int64")
     other = own < 0
-    said = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    named = iter(tokenizer.encode_batch([s for s, o in zip(spelt, other) if o], add_special_tokens=False))
-    names = [next(named).ids if o else [] for o in other]
+    said = [tokenizer.encode_ordinary(x) for x in texts]
+    names = [tokenizer.encode_ordinary(x) if o else [] for x, o in zip(spelt, other)]
     n = len(roles)
     lengths = np.ones((n, 5), "int64")
     lengths[:, 1], lengths[:, 2], lengths[:, 3] = [len(x) for x in names], other, [len(x) for x in said]
@@ -133,7 +133,7 @@ def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         tokenizer, first = opened(path)
-        decode = lambda ids: tokenizer.decode(ids.tolist(), skip_special_tokens=False) if len(ids) else ""
+        decode = lambda ids: tokenizer.decode_bytes(ids.tolist()).decode()
         heads = list(HEADS)
         for b in batches:
             out = []
