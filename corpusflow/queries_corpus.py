@@ -153,10 +153,10 @@ o AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM a WHERE title
 art AS (SELECT doc_id, 'wiki-' || CASE WHEN trim(id) = '' THEN k::VARCHAR ELSE replace(id, '/', '_') END AS id, title, CASE WHEN url = '' THEN 'https://en.wikipedia.org/wiki/' || replace(url_encode(replace(title, ' ', '_')), '%2F', '/') ELSE url END AS url, text FROM o WHERE k < 400)"""
 
 
-def _articles(spark, sf_dir):
+def _articles(spark, sf_dir, limit=400):
     i = F.col("doc_id")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.when(i % 10 == 0, " ").otherwise(F.concat(F.lit("x/"), i)).alias("id"), F.when(i % 9 == 0, " ").otherwise(F.left("text", F.lit(30))).alias("title"), F.when(i % 2 == 0, "").otherwise(F.concat(F.lit("https://e.org/"), i)).alias("url"), "text")
-    return articles.articles(rows, 400, "doc_id")
+    return articles.articles(rows, limit, "doc_id")
 
 
 @query(f"WITH {ARTICLES} SELECT id, title, url, sha256(text) AS text_sha256 FROM art")
@@ -164,6 +164,12 @@ def accepted_articles(spark, sf_dir):
     return _articles(spark, sf_dir).select("id", "title", "url", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query(f"WITH {ARTICLES.replace('k < 400', 'true')} SELECT id, title, sha256(text) AS text_sha256 FROM art")
+def all_articles(spark, sf_dir):
+    """Without a limit; articles that lack an id are numbered among all."""
+    return _articles(spark, sf_dir, None).select("id", "title", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query(f"""WITH {ARTICLES} SELECT 'bootstrap-' || id AS id, 'What is the main topic of the Wikipedia article titled "' || title || '"?' AS question, title AS answer, true AS search_required, id || ':0' AS support, sha256(left(text, 500)) AS snippet FROM art
 UNION ALL VALUES ('bootstrap-arithmetic', 'What is 2 + 2?', '4', false, '', NULL), ('bootstrap-definition', 'What is the capital of France?', 'Paris', false, '', NULL)""")
 def synthesised_questions(spark, sf_dir):

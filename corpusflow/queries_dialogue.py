@@ -170,6 +170,19 @@ def finish_reasons(spark, sf_dir):
     return rollouts.finish_reason(_history(spark, sf_dir)).select(F.col("request_id").alias("conv_id"), "finish_reason")
 
 
+@query("""WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS round, CASE WHEN role = 'system' THEN 0 WHEN turn % 3 = 2 THEN 1 ELSE 2 END AS kind FROM conversations),
+e AS (SELECT *, round > 5 OR coalesce(max((kind = 0)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS ended FROM t),
+n AS (SELECT *, sum((kind = 2 AND NOT ended)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS nth, sum((kind = 1 AND NOT ended)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS bad FROM e),
+f AS (SELECT conv_id, turn, CASE WHEN ended OR kind = 0 THEN NULL WHEN round = 5 OR (kind = 2 AND nth > 1) THEN 'search_limit' WHEN kind = 1 AND bad >= 2 THEN 'invalid_tool' END AS f FROM n)
+SELECT conv_id, coalesce(max_by(f, turn) FILTER (WHERE f IS NOT NULL), 'answer') AS finish_reason FROM f GROUP BY conv_id""")
+def spent_rounds(spark, sf_dir):
+    """Loops of one search, thus of five rounds, after which nothing is replayed."""
+    call = F.concat(F.lit('<|tool_call|>{"name":"search","arguments":{"query":"'), F.col("turn").cast("string"), F.lit('"}}<|end_tool_call|>'))
+    text = F.when(F.col("role") == "system", "done").when(F.col("turn") % 3 == 2, "<|tool_call|>{<|end_tool_call|>").otherwise(call)
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), "turn", text.alias("text"), F.lit("local").alias("mode"), F.lit(1).alias("max_searches"), F.lit("ok").alias("outcome"))
+    return rollouts.finish_reason(rollouts.history(rows)).select(F.col("request_id").alias("conv_id"), "finish_reason")
+
+
 @query("""SELECT event_id, CASE WHEN m = 'web' AND NOT w THEN 'error' WHEN m = 'local' AND f THEN 'error' WHEN m = 'auto' AND f AND NOT w THEN 'error' WHEN web OR (m <> 'web' AND l > 0) THEN 'ok' ELSE 'empty' END AS status,
 CASE WHEN (m = 'web' AND NOT w) OR (m = 'local' AND f) OR (m = 'auto' AND f AND NOT w) THEN NULL WHEN web THEN 'web' ELSE 'local' END AS provider
 FROM (SELECT *, (m = 'web' AND w) OR (m = 'auto' AND w AND (f OR l = 0)) AS web FROM (SELECT event_id, ['web', 'local', 'auto'][event_id % 3 + 1] AS m, event_id % 2 AS l, event_id % 5 = 0 AS f, event_id % 7 <> 0 AS w FROM events))""")

@@ -110,3 +110,25 @@ def test_jsonl(spark, tmp_path):
     with pytest.raises(ValueError):
         jsonl.write_whole(rows.select("id").where("false"), target, nonempty=True)
     assert spark.read.json(target).count() == 3  # a line per row, the one without id too
+
+
+def test_chunks_against_a_plain_version(spark):
+    import re
+
+    def plain(text, size, overlap):
+        out, held = [], ""
+        for unit in filter(None, (u.strip() for u in re.split(r"(?<=[.!?])\s+|\n{2,}", re.sub("[ \t]+", " ", text).strip()))):
+            if len(unit) > size:
+                out += [held] * bool(held) + [unit[i : i + size] for i in range(0, max(1, len(unit) - overlap), size - overlap)]
+                held = ""
+            elif held and len(held) + 1 + len(unit) > size:
+                out.append(held)
+                held = f"{held[-overlap:]} {unit}".lstrip()
+            else:
+                held = f"{held} {unit}".lstrip()
+        return out + [held] * bool(held)
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, ""), (-2, "a" * 500), (-3, "One. Two!\n\nThree?  four \t five. " * 9), (-4, " \n\n ")], "doc_id long, text string"))
+    for size, overlap in ((100, 20), (2000, 200)):
+        for r in rows.select("text", X.chunked(F.col("text"), size, overlap).alias("c")).where("text IS NOT NULL").collect():
+            assert r.c == plain(r.text, size, overlap)
