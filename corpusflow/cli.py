@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import articles, corpus, evaluation, grounded, indexes, preparation, schedules, search, trajectories, validation
-from .plans.stage import staged
+from .plans.stage import scope, staged
 from .sources import files, jsonl, tokens
 
 LOSSES = "loss double, tokens long"
@@ -170,7 +170,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         for o, default in optional.items():
             p.add_argument(f"--{o.replace('_', '-')}", default=default, type=int if isinstance(default, int) else str)
     a = parser.parse_args(argv)
-    out = COMMANDS[a.command][0](spark or SparkSession.builder.appName("corpusflow").getOrCreate(), a)
+    spark = spark or SparkSession.builder.appName("corpusflow").getOrCreate()
+    with scope(spark):
+        out = COMMANDS[a.command][0](spark, a)
     print(json.dumps(out, default=str, sort_keys=True))
     return out
 

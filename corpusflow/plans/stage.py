@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +22,25 @@ def scratch(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Staged tables of this block are deleted at its end; results that read them
+    have to be written before. Without a block they stay."""
+    folder = f"{scratch(spark)}/scope-{uuid.uuid4().hex}"
+    before = _SCOPE.set(folder)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(before)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read back: computed once, safe from lost executors."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_SCOPE.get() or scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -241,7 +241,7 @@ CANONICAL = r"regexp_replace(regexp_replace(url, '#.*$', ''), '\?utm_source=[^&]
 
 @query(f"SELECT page_id, {CANONICAL} AS canonical FROM pages")
 def canonical_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", web.canonical_url("url").alias("canonical"))
+    return table(spark, sf_dir, "pages").select("page_id", web.canonical_url(F.col("url")).alias("canonical"))
 
 
 @query("SELECT page_id, 'web:' || left(sha256(url), 20) AS id FROM pages")

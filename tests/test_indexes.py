@@ -203,3 +203,17 @@ def test_readers_beside_a_writer_always_see_a_version(spark, tmp_path):
     [w.start() for w in writers]
     [w.join() for w in writers]
     assert versions.read_text(spark, path).startswith("20")
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    from pathlib import Path
+
+    from corpusflow.plans import stage
+
+    held = lambda df: Path(df.inputFiles()[0].removeprefix("file:"))
+    with stage.scope(spark):
+        inner = held(stage.staged(spark.range(3), "x"))
+        with stage.scope(spark):
+            deepest = held(stage.staged(spark.range(3), "x"))
+        assert inner.exists() and not deepest.exists()
+    assert not inner.exists() and held(stage.staged(spark.range(3), "x")).exists()

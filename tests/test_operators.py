@@ -132,3 +132,13 @@ def test_chunks_against_a_plain_version(spark):
     for size, overlap in ((100, 20), (2000, 200)):
         for r in rows.select("text", X.chunked(F.col("text"), size, overlap).alias("c")).where("text IS NOT NULL").collect():
             assert r.c == plain(r.text, size, overlap)
+
+
+def test_canonical_urls_of_both_engines(spark):
+    import random
+
+    r = random.Random(1)
+    urls = [None, "", "http://[::1]:8080/a", "https://e.org:99999/", "http://a@b@c.org/", "https://e.org/ü?q=a+b%20c&q=%zz&~t=*&UTM_Medium=1", "https://e.org:080/x", "https://E.org/\tx\n", "https://e.org/?a=b=c&&d"]
+    urls += ["http" + r.choice(["", "s"]) + "://" + "".join(r.choice("abZ:/?#@&=%+~*.é 1") for _ in range(r.randrange(25))) for _ in range(500)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "i int, u string").select("i", web.canonical_url(F.col("u")).alias("c"))
+    assert {x.i: x.c for x in rows.collect()} == {i: web.canonical(u) for i, u in enumerate(urls)}
