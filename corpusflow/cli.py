@@ -42,7 +42,12 @@ def bootstrap_data(spark, a) -> dict:
     rows = spark.read.schema("id string, title string, url string, text string").json(a.input)
     found = staged(articles.articles(_numbered(rows, "articles"), a.limit, "n"), "articles-found")
     asked = articles.with_no_search(articles.questions(found))
-    return {"articles": jsonl.write_whole(found, f"{a.output}/articles", True), "questions": jsonl.write_whole(asked, f"{a.output}/questions", True)}
+    out = {"articles": jsonl.write_whole(found, f"{a.output}/articles", True), "questions": jsonl.write_whole(asked, f"{a.output}/questions", True)}
+    given = {"education": a.education, "reasoning": a.reasoning}
+    streams = {k: _numbered(spark.read.schema("text string").json(path), "sample-rows") for k, path in given.items() if path}
+    if streams:
+        out["tokenizer_samples"] = articles.write_samples(articles.tokenizer_samples(streams, "n"), f"{a.output}/tokenizer-sample")
+    return out
 
 
 def prepare_data(spark, a) -> dict:
@@ -145,7 +150,7 @@ def decontaminate(spark, a) -> dict:
 
 #: Command: function, required options, optional ones with defaults.
 COMMANDS = {
-    "bootstrap-data": (bootstrap_data, ("input", "output"), {"limit": 5000}),
+    "bootstrap-data": (bootstrap_data, ("input", "output"), {"limit": 5000, "education": "", "reasoning": ""}),
     "prepare-data": (prepare_data, ("manifest", "output"), {"reasoning": "", "general": "", "prompts": None, "tokenizer": None, "reasoning_cap": 2_000_000_000, "general_cap": 1_000_000_000}),
     "build-index": (build_index, ("input", "output"), {"config": None, "encoder": None}),
     "ask": (ask, ("index", "query"), {"k": 5, "encoder": None}),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.prefix import numbered
+from ..sources import versions
 
 # Texts of the question rows, and the two rows that need no search.
 QUESTION = ('What is the main topic of the Wikipedia article titled "', '"?')
@@ -83,6 +84,32 @@ def tokenizer_samples(streams: dict[str, DataFrame], order: str = "doc_id", limi
     return out
 
 
+def write_samples(samples: DataFrame, path: str) -> int:
+    """A text file for each sample (name, text), in a folder of that name, as a new
+    version of path; returns their number. The version's pointer is the mark that
+    all are there; without samples it is an error. A text may hold any line ends."""
+    spark = samples.sparkSession
+    found = []
+
+    def write(folder: str) -> None:
+        samples.select("name", "text").write.partitionBy("name").option("lineSep", "\n").text(folder)
+        found.append(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path").count())
+        if not found[0]:
+            raise ValueError("there are no samples")
+
+    versions.publish(spark, path, write)
+    return found[0]
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """name and text of the samples of the newest version that is whole."""
+    folder = versions.current(spark, path)
+    if folder is None:
+        raise FileNotFoundError(path)
+    rows = spark.read.option("wholetext", True).text(folder)
+    return rows.select("name", F.expr("left(value, length(value) - 1)").alias("text"))
+
+
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """rows in a repeatable random order: a range sort on a hash of key and seed."""
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import files
@@ -14,14 +14,15 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     """file, line (from 1) and value of each line of text files.
 
     A line's number is its place in its block plus the lines of the blocks
-    before it: one count per block is gathered, no line is shuffled. The blocks
-    (one per scan task and file at most) are few and sent to all tasks.
+    before it: one count per block is gathered and summed up by file. The blocks
+    (one per scan task and file at most) are few; Spark sends them to all tasks
+    while they are below its limit.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
     blocks = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    earlier = blocks.select("file", F.col("_block").alias("_b"), F.col("_n").alias("_m"))
-    before = blocks.join(earlier, "file").groupBy("file", "_block", "_first").agg(F.coalesce(F.sum(F.when(F.col("_b") < F.col("_block"), F.col("_m"))), F.lit(0)).alias("_before"))
-    return lines.join(F.broadcast(before), ["file", "_block"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
+    upto = F.sum("_n").over(Window.partitionBy("file").orderBy("_block"))
+    before = blocks.select("file", "_block", "_first", (upto - F.col("_n")).alias("_before"))
+    return lines.join(before, ["file", "_block"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
 
 
 def _object(value: Column) -> Column:

@@ -113,6 +113,7 @@ def test_commands(spark, tmp_path):
     assert json.loads((tmp_path / "prep" / "preparation-manifest.json").read_text())["format_version"] == 2
     (tmp_path / "a.jsonl").write_text(json.dumps({"id": "1", "title": "T a", "text": "x " * 150}) + "\n")
     assert cli.main(["bootstrap-data", "--input", str(tmp_path / "a.jsonl"), "--output", str(tmp_path / "boot")], spark) == {"articles": 1, "questions": 3}
+    assert cli.main(["bootstrap-data", "--input", str(tmp_path / "a.jsonl"), "--output", str(tmp_path / "boot"), "--education", str(tmp_path / "a.jsonl")], spark)["tokenizer_samples"] == 1
 
 
 def test_manifest_and_configuration_faults(spark):
@@ -222,6 +223,18 @@ def test_articles_and_shuffles(spark):
     assert first == [r.id for r in articles.shuffled(spark.range(100), "id", 1).collect()] != sorted(first) and sorted(first) == list(range(100))
 
 
+def test_sample_files(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a\r\nb\n" * 50), (2, "short"), (3, "é" * 30_000)], "doc_id long, text string")
+    samples = articles.tokenizer_samples({"education": docs})
+    assert articles.write_samples(samples, str(tmp_path / "s")) == 2
+    got = {r.name: r.text for r in articles.read_samples(spark, str(tmp_path / "s")).collect()}
+    assert got == {"education-00001.txt": ("a\r\nb\n" * 50).strip(), "education-00003.txt": "é" * 20_000}
+    with pytest.raises(ValueError):
+        articles.write_samples(samples.where("false"), str(tmp_path / "n"))
+    with pytest.raises(FileNotFoundError):
+        articles.read_samples(spark, str(tmp_path / "n"))
+
+
 def test_masks_and_trajectory_limits(spark):
     text = "<|problem|>p<|reasoning|>r"
     spans = spark.createDataFrame([(text,), ("none",), ("<|tool_result|>a",)], "t string").select(dialogue.masked_spans(F.col("t")).alias("s")).collect()
