@@ -106,7 +106,7 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     folder = versions.current(spark, path)
     if folder is None:
         raise FileNotFoundError(path)
-    rows = spark.read.option("wholetext", True).text(folder)
+    rows = spark.read.text(folder, wholetext=True)
     return rows.select("name", F.expr("left(value, length(value) - 1)").alias("text"))
 
 
