@@ -45,9 +45,16 @@ c AS (SELECT query_id, 1 AS clause, '+' AS sign, NULL AS field, {TERMS % "x[2] |
   UNION ALL SELECT query_id, 4, '', 'content', {TERMS % "x[6] || ' ' || x[7] || ' ' || x[8]"} FROM b UNION ALL SELECT query_id, 5, '-', NULL, {TERMS % "x[1] || ' ' || x[4]"} FROM b), {SCORED}""")
 def lexicon_phrases(spark, sf_dir):
     """Required and excluded phrases, words in a field."""
-    x = F.split("text", " ")
-    asked = F.format_string('+"%s %s" %s title:%s content:"%s %s %s" -"%s %s"', *[F.get(x, F.lit(i)) for i in (1, 2, 4, 1, 5, 6, 7, 0, 3)])
-    return _found(spark, sf_dir, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), asked.alias("text")))
+    return _found(spark, sf_dir, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), phrased(F.col("text")).alias("text")))
+
+
+def phrased(text):
+    """The query text of an item. Its words end at spaces only and may hold line
+    ends or marks, so each clause stands in quotes; one that lacks a word is left out."""
+    x = F.split(F.translate(text, '"', "\n"), " ")
+    clause = lambda mark, *at: F.concat(F.lit(f'{mark}"'), F.concat_ws(" ", F.array(*[F.get(x, F.lit(i)) for i in at])), F.lit('"'))
+    whole = lambda mark, *at: F.when(F.size(x) > max(at), clause(mark, *at))
+    return F.concat_ws(" ", whole("+", 1, 2), whole("", 4), whole("title:", 1), whole("content:", 5, 6, 7), whole("-", 0, 3))
 
 
 @query(f"WITH c AS (SELECT query_id, clause, '' AS sign, NULL AS field, [word] AS words FROM (SELECT item_id AS query_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS clause FROM (SELECT item_id, {TERMS % 'text'} AS ws FROM benchmark))), {SCORED}")
