@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import queries
 from corpusflow.functions import text as X
+from corpusflow.operators import quality
 from test_oracles import DIR, TABLES, rows_of
 
 needs_tables = pytest.mark.skipif(not TABLES, reason="no test tables here")
@@ -39,3 +40,13 @@ def test_single_letters_beside_other_scripts(spark, tmp_path):
         assert got == want
     out = spark.createDataFrame([("éA B",), ("ßc d",)], "t string").select(X.choice(F.col("t"))).collect()
     assert [r[0] for r in out] == ["B", "D"]
+
+
+@needs_tables
+def test_long_reasoning_rows_by_sql(spark, tmp_path):
+    rows = documents(spark, [(1, "word " * 30_000), (3, "short text"), (16, "x" * 199_000), (11, "w " * 120_000)])
+    for got, want in both(spark, tmp_path, "documents", rows, ["preparation_counters", "reasoning_documents", "reasoning_gate", "verification_route"]):
+        assert got == want
+    row = spark.createDataFrame([("src-1", "p" * 200_001, "<think>a</think><answer>b</answer>")], "s string, p string, r string")
+    gate = lambda **k: row.select(quality.reasoning_rejection(F.col("s"), F.col("p"), F.col("r"), F.lit("stop"), ["src-1"], **k)).first()[0]
+    assert gate() == "too_long" and gate(longest=None) is None
