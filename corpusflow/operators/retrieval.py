@@ -21,22 +21,29 @@ def terms(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda t: F.octet_length(t) <= 40)
 
 
-def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """key, term, tf, length."""
-    words = docs.select(key, terms(text).alias("w"))
-    return words.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
-
-def bm25(index: DataFrame, lengths: DataFrame, queries: DataFrame, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, key, score of every match. Postings are cut to the queries'
-    terms by a join before anything else."""
-    q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    total = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    found = index.join(q.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(total.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(total.mean or 1))))
-    return found.join(df, "term").join(q, "term").groupBy("query_id", key).agg(F.sum(idf * tf).alias("score"))
+def bm25(docs: DataFrame, queries: DataFrame, key: str, fields: dict[str, Column], boosts: dict[str, float] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, key, score of every match: BM25 per field, summed by boosts.
+
+    Of the documents' words those of the queries alone leave their task, once,
+    and are dealt by document; what a query's words weigh goes to all tasks (a
+    row per query, field and word), so that scores are made where a document
+    lies and no frequent word is one task's."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(c).alias("w")) for f, c in fields.items()])).alias("f")
+    words = docs.select(key, each).select(key, "f.field", "f.w")
+    totals = words.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).collect()  # a row per field
+    known = lambda values: F.element_at(F.create_map(*[F.lit(x) for f, v in values for x in (f, float(v))]), F.col("field"))
+    if not totals:
+        totals = [(f, 0, 1.0) for f in fields]
+    n, mean = known([(f, c) for f, c, _ in totals]), known([(f, m or 1) for f, _, m in totals])
+    boost = known([(f, (boosts or {}).get(f, 1.0)) for f in fields])
+    found = words.select(key, "field", F.size("w").alias("length"), F.explode("w").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    index = found.repartition(key).groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    df = index.groupBy("field", "term").agg(F.count("*").alias("df"))
+    weights = df.join(F.broadcast(asked), "term").select("field", "term", "query_id", (boost * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"))
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
+    parts = index.select(key, "field", "term", tf.alias("part"))
+    return parts.join(F.broadcast(weights), ["field", "term"]).groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
 
 def top(scores: DataFrame, n: int, key: str) -> DataFrame:

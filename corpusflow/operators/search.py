@@ -67,7 +67,8 @@ def lookup(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def hydrated(found: DataFrame, chunks: DataFrame, key: str, n: int, provider: str = "local") -> DataFrame:
     """The n best of each query with cleaned title, snippet and content, and the
     map of their scores."""
-    best = found.where(F.col("rank") <= n).join(chunks.select(key, "title", "url", "content"), key)
+    # The n best of each query go to the chunks, not the chunks to them.
+    best = F.broadcast(found.where(F.col("rank") <= n)).join(chunks.select(key, "title", "url", "content"), key)
     parts = F.map_from_arrays(F.array(*map(F.lit, ("rrf", "bm25", "dense"))), F.array("score", "bm25", "dense"))
     return best.select("query_id", key, X.sanitized(F.col("title"), limit=500).alias("title"), "url", X.sanitized(F.col("content"), limit=500).alias("snippet"), X.sanitized(F.col("content")).alias("content"), "score", F.lit(provider).alias("provider"), parts.alias("score_components"), "rank")
 
@@ -104,16 +105,12 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(":", "id", "position").alias("chunk_id"), "title", "url", "content")
 
 
-def lexical_search(postings: dict[str, DataFrame], lengths: dict[str, DataFrame], key: str, boosts: dict[str, float]) -> Search:
+def lexical_search(docs: DataFrame, key: str, fields: dict[str, Column], boosts: dict[str, float]) -> Search:
     """BM25 over several fields, the sum of their boosted scores."""
 
     def run(queries: DataFrame, n: int) -> DataFrame:
-        scores = None
-        for field, boost in boosts.items():
-            own = retrieval.bm25(postings[field], lengths[field], queries, key).withColumn("score", F.col("score") * boost)
-            scores = own if scores is None else scores.unionByName(own)
-        total = scores.groupBy("query_id", key).agg(F.round(F.sum("score"), 6).alias("score"))
-        return retrieval.top(total, n, key)
+        scores = retrieval.bm25(docs, queries, key, fields, boosts)
+        return retrieval.top(scores.withColumn("score", F.round("score", 6)), n, key)
 
     return run
 

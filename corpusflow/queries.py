@@ -202,12 +202,8 @@ def chunk_documents(spark, sf_dir):
 def _bm25(spark, sf_dir, boost=0.0):
     docs = table(spark, sf_dir, "documents")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    lengths = docs.select("doc_id", F.size(retrieval.terms(F.col("text"))).alias("length"))
-    scores = retrieval.bm25(retrieval.postings(docs, "doc_id", F.col("text")), lengths, queries, "doc_id")
-    if boost:
-        titles = docs.select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
-        title = retrieval.bm25(retrieval.postings(titles, "doc_id", F.col("title")), titles.select(F.size(retrieval.terms(F.col("title"))).alias("length")), queries, "doc_id")
-        scores = scores.unionByName(title.withColumn("score", F.col("score") * boost)).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    fields = {"text": F.col("text")} | ({"title": F.substring_index("text", "\n", 1)} if boost else {})
+    scores = retrieval.bm25(docs, queries, "doc_id", fields, {"title": boost})
     return retrieval.top(scores.withColumn("score", F.round("score", 6)), 10, "doc_id")
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import retrieval, search, vectors
+from .operators import search, vectors
 from .plans.stage import scratch
 from .registry import query, table
 
@@ -33,8 +33,7 @@ def _parts(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     queries = asked.join(rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
-    own = {f: docs.select("doc_id", F.col(f).alias("t")) for f in ("title", "content")}
-    lexical = search.lexical_search({f: retrieval.postings(d, "doc_id", F.col("t")) for f, d in own.items()}, {f: d.select("doc_id", F.size(retrieval.terms(F.col("t"))).alias("length")) for f, d in own.items()}, "doc_id", {"title": 2.0, "content": 1.0})
+    lexical = search.lexical_search(docs, "doc_id", {f: F.col(f) for f in ("title", "content")}, {"title": 2.0, "content": 1.0})
     dense = search.dense_search(rows.withColumnRenamed("vec_id", "doc_id"), "doc_id")
     return queries, lexical, dense, docs
 
@@ -61,7 +60,7 @@ SELECT query_id, doc_id, score::DOUBLE AS score, score::DOUBLE AS reranker, rank
 def rerank_pluggable(spark, sf_dir):
     """A scorer that looks at lengths only."""
     queries, lexical, dense, docs = _parts(spark, sf_dir)
-    found = search.hybrid(queries, lexical, dense, docs, "doc_id", 5).drop("content").join(docs.select("doc_id", "content"), "doc_id").drop("title").join(docs.select("doc_id", "title"), "doc_id")
+    found = F.broadcast(search.hybrid(queries, lexical, dense, docs, "doc_id", 5).drop("content", "title")).join(docs.select("doc_id", "content", "title"), "doc_id")
     named = found.join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     scorer = lambda q, x: x.map(lambda t: (len(t) - 1) % 7)
     out = search.reranked(named.drop("provider", "url", "snippet"), scorer, 3, "doc_id")
