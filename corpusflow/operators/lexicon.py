@@ -59,6 +59,19 @@ def part(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def blocks(rows: DataFrame, mean: Column, windows: int) -> DataFrame:
+    """The blocks of rows (field, key, terms). Postings are shuffled once, to the
+    file of their bucket and share of windows, and grouped there, in order of
+    terms, for the statistics of row groups; what can be told from a posting is
+    made behind the shuffle."""
+    entry = F.struct("key", F.size("positions").alias("tf"), "length", "positions")
+    window = F.pmod(F.xxhash64("key"), F.lit(windows)).cast("int")
+    keyed = by_term(rows).withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"), "share": F.pmod(F.xxhash64(window, "term"), F.lit(4)).cast("int")})
+    placed = keyed.repartition("bucket", "share").withColumns({"window": window, "part": part(F.size("positions"), F.col("length"), mean)})
+    made = placed.groupBy("bucket", "share", "term", "field", "window").agg(F.count("*").alias("n"), F.max("part").alias("bound"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    return made.drop("share").sortWithinPartitions("bucket", "term", "field", "window")
+
+
 def build(docs: DataFrame, key: str, fields: dict[str, Column], path: str, boosts: dict[str, float] | None = None, manifest: dict | None = None) -> int:
     """Write the index of docs under path and return the number of documents. An
     existing index or an empty table is an error that leaves nothing behind."""
@@ -72,14 +85,10 @@ def build(docs: DataFrame, key: str, fields: dict[str, Column], path: str, boost
     means = {f: max(r.words, 1) / r.n for f, r in counts.items()}
     windows = max(1, -(-n // WINDOW))
     mean = F.element_at(F.create_map(*[F.lit(x) for f, m in means.items() for x in (f, m)]), F.col("field"))
-    entry = F.struct("key", F.size("positions").alias("tf"), "length", "positions")
-    keyed = by_term(rows).withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"), "window": F.pmod(F.xxhash64("key"), F.lit(windows)).cast("int"), "part": part(F.size("positions"), F.col("length"), mean)})
-    blocks = keyed.groupBy("bucket", "term", "field", "window").agg(F.count("*").alias("n"), F.max("part").alias("bound"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    dealt = blocks(rows, mean, windows)
     known = {"format_version": 3, "documents": n, "windows": windows, "fields": {f: {"mean": means[f], "boost": float((boosts or {}).get(f, 1.0))} for f in fields}, "key": docs.schema[key].dataType.simpleString(), **(manifest or {})}
 
     def write(folder: str) -> None:
-        # A file per bucket and share of its terms, in order of terms, for the statistics of row groups.
-        dealt = blocks.repartition("bucket", F.pmod(F.xxhash64("window", "term"), F.lit(4))).sortWithinPartitions("bucket", "term", "field", "window")
         dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
         files.write_report(spark, known, f"{folder}/manifest.json")
 
@@ -158,16 +167,21 @@ class Lexicon:
         return found.where("has = required AND wanted > 0").select("query_id", "window", "upper", "entries")
 
     def scores(self, weighed: DataFrame, windows: DataFrame) -> DataFrame:
-        """query_id, key, score of all matches in the given (query_id, window)."""
-        met = self.met(weighed, "entries").join(windows.select("query_id", "window"), ["query_id", "window"])
-        rows = met.select("query_id", "required", "clause", "sign", "field", "size", "weight", "i", F.inline("entries"))
+        """query_id, key, score of all matches in the given (query_id, window). The
+        postings of asked words are dealt by document once, whatever the number of
+        queries, and meet the queries' words and windows (broadcast) there."""
+        words = weighed.groupBy("bucket", "term", "field").agg(F.max("size").alias("most"))
+        here = self.met(F.broadcast(words), "entries").join(F.broadcast(windows.select("window").distinct()), "window", "left_semi")
+        held = here.select("field", "term", "window", "most", F.inline("entries")).withColumn("positions", F.when(F.col("most") > 1, F.col("positions"))).drop("most")
+        rows = held.repartition("key").join(F.broadcast(weighed.drop("bucket")), ["term", "field"]).join(F.broadcast(windows.select("query_id", "window")), ["query_id", "window"])
         starts = F.transform("positions", lambda p: p - F.col("i"))
         one = rows.where("size = 1").select("query_id", "required", "clause", "sign", "field", "weight", "key", "length", F.col("tf").alias("freq"))
         group = rows.where("size > 1").groupBy("query_id", "required", "clause", "sign", "field", "weight", "key", "length", "size").agg(F.collect_list(starts).alias("s"))
         common = F.aggregate(F.slice("s", 2, F.col("size")), F.col("s")[0], lambda a, b: F.array_intersect(a, b))
         many = group.where(F.size("s") == F.col("size")).withColumn("freq", F.size(common)).where("freq > 0").select(one.columns)
         mean = F.element_at(F.create_map(*[F.lit(x) for f, v in self.manifest["fields"].items() for x in (f, v["mean"])]), F.col("field"))
-        every = one.unionByName(many).withColumn("score", F.col("weight") * part(F.col("freq"), F.col("length"), mean))
+        phrases = (weighed.agg(F.max("size")).first()[0] or 1) > 1
+        every = (one.unionByName(many) if phrases else one).withColumn("score", F.col("weight") * part(F.col("freq"), F.col("length"), mean))
         per = every.groupBy("query_id", "required", "key", "clause", "sign").agg(F.sum("score").alias("score"))
         total = per.groupBy("query_id", "required", "key").agg(F.sum(F.when(F.col("sign") != "-", F.col("score"))).alias("score"), F.count_if(F.col("sign") == "+").alias("has"), F.count_if(F.col("sign") == "-").alias("bad"))
         fits = total.where("has = required AND bad = 0 AND score IS NOT NULL")
