@@ -6,7 +6,6 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +19,9 @@ BLOCK_BYTES = 16 << 20
 STRIPE = 512
 #: Rows of vectors that are scored at a time.
 ROWS = 8192
+#: Best rows, of all queries of a block, that a search by codes keeps, and rows
+#: that it hands on at a time.
+HELD, HANDED = 200_000, 50_000
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -64,9 +66,9 @@ class Nearest:
         self.nth[self.query[full]] = self.scores[full]
 
 
-def blocks_of(queries: DataFrame, size: int) -> Iterator[tuple[list, np.ndarray]]:
-    """Ids and vectors of the queries, BLOCK_BYTES or about so many at a time."""
-    n = max(1, BLOCK_BYTES // (8 * size))
+def blocks_of(queries: DataFrame, size: int, most: int | None = None) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and vectors of the queries, BLOCK_BYTES or `most` of them or about so many at a time."""
+    n = max(1, min(BLOCK_BYTES // (8 * size), most or BLOCK_BYTES))
     blocks = max(1, -(-queries.count() // n))
     for i in range(blocks):
         some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
@@ -164,7 +166,7 @@ class Quantised:
         tagged = some.select("v", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("k")) for n, a, b, k in jobs])).alias("j"))
         norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
         pieces = tagged.withColumn("norm", norm).select("j.name", "j.k", F.transform(F.slice("v", F.col("j.a") + 1, F.col("j.b") - F.col("j.a")), lambda c: c / F.greatest("norm", F.lit(1e-300))).alias("v"))
-        centres = staged(pieces.groupBy("name").applyInPandas(_fitted, "name string, values array<double>"), "vector-centres")
+        centres = staged(pieces.groupBy("name").applyInArrow(_fitted, "name string, values array<double>"), "vector-centres")
         held = {r.name: np.array(r["values"]) for r in centres.collect()}
         send = spark.sparkContext.broadcast((held["lists"].reshape(-1, size), [held[f"part-{i}"].reshape(-1, w) for i, w in enumerate(widths)]))
         kind = rows.schema[key].dataType.simpleString()
@@ -208,28 +210,33 @@ class Quantised:
                 ids, q, met = send.value
                 tables = [q[:, i:j] @ book.T for i, j, book in zip(cuts[:-1], cuts[1:], books)]
                 best = Nearest(len(ids), candidates)
-                lists, kind = {}, None
+                kind, known, listed = None, None, np.zeros(0, "int32")  # rows that may be found, and their lists
                 for b in batches:
                     kind = b.schema.field(0).type
                     for at in range(0, b.num_rows, ROWS):
                         part = b.slice(at, ROWS)
                         codes = np.frombuffer(b"".join(part.column(1).to_pylist()), "uint8").reshape(-1, len(books))
                         keys, own = np.array(part.column(0).to_pylist()), part.column(2).to_numpy()
-                        lists.update(zip(keys.tolist(), own.tolist()))
+                        known, listed = keys if known is None else np.concatenate([known, keys]), np.concatenate([listed, own])
                         for i in range(0, len(ids), STRIPE):
                             scores = sum(t[i : i + STRIPE][:, codes[:, p]] for p, t in enumerate(tables))
                             scores[~met[i : i + STRIPE][:, own]] = -np.inf
                             best.add(scores, keys, i)
-                    lists = {k: lists[k] for k in set(best.keys.tolist())}
+                        keep = np.isin(known, best.keys)
+                        known, listed = known[keep], listed[keep]
                 if best.keys is not None:
-                    real = best.scores > -np.inf
-                    found = best.keys[real].tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in best.query[real]]), pa.array(found, kind), pa.array([lists[k] for k in found], pa.int32()), pa.array(best.scores[real])], names=["query_id", key, "list", "score"])
+                    order = np.argsort(known)
+                    real = np.flatnonzero(best.scores > -np.inf)
+                    for at in range(0, len(real), HANDED):
+                        some = real[at : at + HANDED]
+                        found = best.keys[some]
+                        of = listed[order[np.searchsorted(known, found, sorter=order)]]
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in best.query[some]]), pa.array(found.tolist(), kind), pa.array(of, pa.int32()), pa.array(best.scores[some])], names=["query_id", key, "list", "score"])
 
             return run
 
         out = spark.createDataFrame([], schema)
-        for ids, q in blocks_of(queries.where(F.col("query").isNotNull()), size):
+        for ids, q in blocks_of(queries.where(F.col("query").isNotNull()), size, max(1, HELD // candidates)):
             q = unit(q)
             met = np.zeros((len(q), len(middle)), bool)
             np.put_along_axis(met, np.argsort(-(q @ middle.T), axis=1)[:, :probed], True, axis=1)
@@ -255,16 +262,17 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
 
 
-def _fitted(f: pd.DataFrame) -> pd.DataFrame:
-    """k-means centres of one group's vectors, by ten of Lloyd's rounds."""
-    x = np.array(f["v"].tolist(), "float64")
+def _fitted(t: pa.Table) -> pa.Table:
+    """k-means centres of one group's vectors, by ten of Lloyd's rounds; distances
+    are taken for ROWS vectors at a time."""
+    v = t["v"].combine_chunks()
+    x = matrix(v, len(v[0]))
     x = x[np.lexsort(x.T)]  # rows come in any order
-    k = min(int(f["k"].iloc[0]), len(x))
+    k = min(t["k"][0].as_py(), len(x))
     centres = x[np.random.default_rng(1).choice(len(x), k, replace=False)]
     for _ in range(10):
-        own = nearest(x, centres)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
+        own = np.concatenate([nearest(x[i : i + ROWS], centres) for i in range(0, len(x), ROWS)])
         counts = np.bincount(own, minlength=k)
+        sums = np.stack([np.bincount(own, c, k) for c in x.T], axis=1)
         centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
-    return pd.DataFrame({"name": [f["name"].iloc[0]], "values": [centres.ravel().tolist()]})
+    return pa.table({"name": t["name"][:1], "values": pa.array([centres.ravel()], pa.list_(pa.float64()))})
