@@ -109,12 +109,11 @@ class WordBpe:
         missing = [w for w in dict.fromkeys(words) if w not in self.words]
         cut = [_PATTERN.findall(w) for w in missing]
         self._learn(chain.from_iterable(cut))
-        own = {}
         for w, parts in zip(missing, cut, strict=True):
             if len(w) < self.long:
                 self.words[w] = b"".join(map(self.cache.__getitem__, parts))
-            else:
-                own[w] = self._encode_pretokens(parts)
+        # Only now: this may clear the cache, which the words above are read from.
+        own = {w: self._encode_pretokens(parts) for w, parts in zip(missing, cut, strict=True) if len(w) >= self.long}
         if not own:
             return b"".join(map(self.words.__getitem__, words))
         return b"".join(own[w] if w in own else self.words[w] for w in words)
