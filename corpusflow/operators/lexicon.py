@@ -179,21 +179,26 @@ class Lexicon:
         blocks = self.postings().where(F.col("bucket").isin(buckets)) if buckets else self.postings().where(F.lit(False))
         return blocks.select("bucket", "term", "field", "window", *columns).join(asked, ["bucket", "term", "field"])
 
-    def weighed(self, asked: DataFrame) -> DataFrame:
+    def held(self, asked: DataFrame) -> DataFrame:
+        """The numbers of the blocks of asked words, without entries."""
+        return self.met(asked.select("bucket", "term", "field").distinct(), "n", "bound")
+
+    def weighed(self, asked: DataFrame, held: DataFrame | None = None) -> DataFrame:
         """asked with weight: boost and idf, summed over the words of a phrase. Words
-        that no document has are left out, and so are phrases with one."""
-        df = self.met(asked.select("bucket", "term", "field").distinct(), "n").groupBy("term", "field").agg(F.sum("n").alias("df"))
+        that no document has are left out, and so are phrases with one. held: held()
+        of these words, if it is known already."""
+        df = (held or self.held(asked)).groupBy("term", "field").agg(F.sum("n").alias("df"))
         n = F.lit(float(self.manifest["documents"]))
         idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         w = Window.partitionBy("query_id", "clause", "field")
         known = asked.join(df, ["term", "field"]).withColumn("weight", F.col("boost") * F.sum(idf).over(w)).withColumn("_known", F.count("*").over(w))
         return known.where("_known = size").drop("_known", "df", "boost")
 
-    def bounds(self, weighed: DataFrame) -> DataFrame:
+    def bounds(self, weighed: DataFrame, held: DataFrame | None = None) -> DataFrame:
         """query_id, window, upper (no document of the window scores more) and
         entries (postings there). A phrase counts in a document no more often than
         its rarest word does. Windows without a required clause are left out."""
-        met = self.met(weighed, "bound", "n").groupBy("query_id", "required", "clause", "sign", "field", "window", "size", "weight").agg(F.count("*").alias("k"), F.min("bound").alias("bound"), F.sum("n").alias("n"))
+        met = (held or self.held(weighed)).join(weighed, ["bucket", "term", "field"]).groupBy("query_id", "required", "clause", "sign", "field", "window", "size", "weight").agg(F.count("*").alias("k"), F.min("bound").alias("bound"), F.sum("n").alias("n"))
         per = met.where("k = size").groupBy("query_id", "required", "clause", "sign", "window").agg(F.sum(F.when(F.col("sign") != "-", F.col("weight") * F.col("bound"))).alias("upper"), F.sum("n").alias("n"))
         found = per.groupBy("query_id", "required", "window").agg(F.coalesce(F.sum("upper"), F.lit(0.0)).alias("upper"), F.sum("n").alias("entries"), F.count_if(F.col("sign") == "+").alias("has"), F.count_if(F.col("sign") != "-").alias("wanted"))
         return found.where("has = required AND wanted > 0").select("query_id", "window", "upper", "entries")
@@ -240,8 +245,10 @@ class Lexicon:
 
     def _planned(self, queries: DataFrame, k: int) -> tuple[DataFrame, ...]:
         """plan and the k best of the windows that are read first."""
-        weighed = staged(self.weighed(self.asked(queries)), "lexicon-words")
-        bounds = staged(self.bounds(weighed), "lexicon-bounds")
+        asked = self.asked(queries)
+        held = staged(self.held(asked), "lexicon-held")
+        weighed = staged(self.weighed(asked, held), "lexicon-words")
+        bounds = staged(self.bounds(weighed, held), "lexicon-bounds")
         order = Window.partitionBy("query_id").orderBy(F.desc("upper"), "window")
         ranked = bounds.withColumn("_r", F.row_number().over(order))
         first, other = (ranked.where(c).drop("_r") for c in (f"_r <= {FIRST}", f"_r > {FIRST}"))
@@ -278,6 +285,19 @@ def rounded(score: np.ndarray) -> np.ndarray:
     return whole / 1e6
 
 
+def _common(lists: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The numbers that all ascending lists hold, and where each list holds them."""
+    order = sorted(range(len(lists)), key=lambda i: len(lists[i]))
+    same, place = lists[order[0]], {order[0]: np.arange(len(lists[order[0]]))}
+    for i in order[1:]:
+        if not len(same):
+            break
+        at = np.minimum(np.searchsorted(lists[i], same), len(lists[i]) - 1)
+        hit = lists[i][at] == same
+        same, place = same[hit], {j: x[hit] for j, x in {**place, i: at}.items()}
+    return same, [place.get(i, same) for i in range(len(lists))]
+
+
 class _Postings:
     """The postings of asked words in one window, as arrays."""
 
@@ -293,6 +313,7 @@ class _Postings:
         self.last = np.cumsum(n)
         self.means, fields = means, rows["field"].to_pylist()
         self.length = flat("length").to_numpy()
+        self.wide = int(self.length.max(initial=0)) + 1
         self.part = part(flat("tf").to_numpy(), self.length, np.repeat([float(means[f]) for f in fields], n))
         self.at = {w: (e - m, e) for w, e, m in zip(zip(fields, rows["term"].to_pylist()), self.last.tolist(), n.tolist())}
         if "positions" in rows.column_names:
@@ -304,35 +325,35 @@ class _Postings:
             self.size = pc.list_value_length(lists).to_numpy()
             self.begin, self.places = np.cumsum(self.size) - self.size, lists.flatten().to_numpy()
 
+    def documents(self, span: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending numbers (key and length) of the documents of a word's postings,
+        and these; of rows that share a key and a length there is none."""
+        start, end = span
+        own = self.doc[start:end] * self.wide + self.length[start:end]
+        if (own[1:] > own[:-1]).all():
+            return own, np.arange(start, end)
+        known, first, times = np.unique(own, return_index=True, return_counts=True)
+        return known[times == 1], start + first[times == 1]
+
     def phrase(self, field: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The documents that hold the words side by side, and their parts."""
         none = np.zeros(0, "int64"), np.zeros(0)
         spans = [self.at.get((field, w)) for w in words]
         if None in spans:
             return none
-        same, wide = None, int(self.length.max()) + 1
-        ids = []
-        for s, e in spans:
-            own = self.doc[s:e] * wide + self.length[s:e]
-            if len(own) > 1 and (np.diff(self.doc[s:e]) == 0).any():  # rows that share a key
-                known, times = np.unique(own, return_counts=True)
-                own = np.where(np.isin(own, known[times == 1]), own, -1)
-            ids.append(own)
-        for own in sorted(ids, key=len):
-            same = np.unique(own[own >= 0]) if same is None else same[np.isin(same, own)]
-            if not len(same):
-                return none
-        starts = None
-        for i, ((s, _), own) in enumerate(zip(spans, ids)):
-            there = np.flatnonzero(np.isin(own, same))
-            lists = self.list_of[s + there]
+        held = [self.documents(x) for x in spans]
+        same, place = _common([x for x, _ in held])
+        if not len(same):
+            return none
+        starts = []
+        for i, (_, postings) in enumerate(held):
+            lists = self.list_of[postings[place[i]]]
             size = self.size[lists]
             at = np.repeat(self.begin[lists] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            found = np.repeat(np.searchsorted(same, own[there]), size) << 32 | (self.places[at].astype("int64") - i + len(words))
-            starts = np.unique(found) if starts is None else np.intersect1d(starts, found)
-        freq = np.bincount(starts >> 32, minlength=len(same))
+            starts.append(np.repeat(np.arange(len(same)), size) << 32 | (self.places[at].astype("int64") - i + len(words)))
+        freq = np.bincount(_common(starts)[0] >> 32, minlength=len(same))
         same, freq = same[freq > 0], freq[freq > 0]
-        return same // wide, part(freq, same % wide, self.means[field])
+        return same // self.wide, part(freq, same % self.wide, self.means[field])
 
     def best(self, query: tuple, k: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The documents that match a query of _queries and their scores; with k, the

@@ -77,9 +77,27 @@ def test_the_best_alone_leave_a_window(spark, index):
     assert sum(map(len, full.values())) > 3 * sum(map(len, best.values()))
 
 
+def test_common_numbers_and_their_places():
+    r = random.Random(8)
+    for n in range(60):
+        lists = [np.array(sorted(r.sample(range(40), r.randrange(40))), "int64") for _ in range(1 + n % 4)]
+        same, place = lexicon._common(lists)
+        assert same.tolist() == sorted(set.intersection(*(set(x.tolist()) for x in lists)))
+        assert all(x[at].tolist() == same.tolist() for x, at in zip(lists, place, strict=True))
+
+
 def test_rounded_as_sql(spark):
     r = np.random.default_rng(2)
     x = np.r_[r.random(2000) * 100, (r.integers(0, 10**9, 2000) + 0.5) / 1e6, 0.0, 2.5e-6, 12.0000005]
     want = [float(Decimal(repr(float(v))).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for v in x]
     assert lexicon.rounded(x).tolist() == want
     assert [s.s for s in spark.createDataFrame([(float(v),) for v in x[-400:]], "x double").select(F.round("x", 6).alias("s")).collect()] == want[-400:]
+
+
+def test_a_search_scans_the_blocks_three_times(spark, index, monkeypatch):
+    """Once for the numbers of the asked words' blocks, twice for entries."""
+    _, made = index
+    scans, met = [], lexicon.Lexicon.met
+    monkeypatch.setattr(lexicon.Lexicon, "met", lambda self, asked, *columns: scans.append(columns) or met(self, asked, *columns))
+    assert made.search(asked(spark, ["a b", '"b c" +d']), 3).count() == 6
+    assert scans == [("n", "bound"), ("entries",), ("entries",)]
